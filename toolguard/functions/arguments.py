@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from toolguard.functions.constants import constant, constant_map
+
 TOKEN = r'"(?:[^"\\]|\\.)*+"|[\[\]{},:]|[^"\[\]{},:\s]++'
 FALSY = ('""', "0", "0.0", "-0.0", "false", "null", "[]", "{}")
 LOG_LIMIT, LOG_KEPT, LOG_MARK = 50, 20, "...[truncated]"
@@ -75,14 +77,14 @@ def ascii_escaped(text: Column) -> Column:
 
 def json_string(text: Column) -> Column:
     """The text as a JSON string literal in printable ASCII."""
-    short = {34: '\\"', 92: "\\\\", 8: "\\b", 9: "\\t", 10: "\\n", 12: "\\f", 13: "\\r"}
+    short = constant_map(
+        {'"': '\\"', "\\": "\\\\", "\b": "\\b", "\t": "\\t", "\n": "\\n", "\f": "\\f", "\r": "\\r"}
+    )
 
     def escape(ch: Column) -> Column:
-        code, case = F.ascii(ch), None
-        for value, written in short.items():
-            case = (F if case is None else case).when(code == value, F.lit(written))
+        code = F.ascii(ch)
         control = F.concat(F.lit("\\u"), F.lpad(F.lower(F.hex(code)), 4, "0"))
-        return case.when(code < 0x20, control).otherwise(ascii_escaped(ch))
+        return F.coalesce(F.try_element_at(short, ch), F.when(code < 0x20, control).otherwise(ascii_escaped(ch)))
 
     plain = ~text.rlike(r'[^ -~]|["\\\\]')
     body = F.when(plain, text).otherwise(F.array_join(F.transform(F.split(text, ""), escape), ""))
@@ -148,7 +150,7 @@ def log_form(args: Column, canonical_arguments: Column) -> Column:
 
 def rule_texts(args: Column, names: list[str]) -> Column:
     """Map from argument name to the text a rule sees for it."""
-    wanted = F.array(*[F.lit(n) for n in names]).cast("array<string>")
+    wanted = constant(names)
     return F.map_from_entries(F.transform(wanted, lambda n: F.struct(n, rule_text(args, n))))
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from toolguard import rules
 from toolguard.functions import regex
+from toolguard.functions.constants import constant, constant_map
 
 
 def is_js(path: Column) -> Column:
@@ -53,37 +54,28 @@ def either_flags(code: Column) -> Column:
 
 
 def no_flags() -> Column:
-    return F.array().cast("array<string>")
+    return constant([])
 
 
 def unmentioned(flags: Column, description: Column) -> Column:
     """The flags none of whose words occur in the description."""
     lowered = F.lower(description)
-    silent = {c: ~regex.contains_any(lowered, w) for c, w in rules.MENTION_WORDS.items()}
-    return F.array_compact(
-        F.array(
-            *[F.when(F.array_contains(flags, c) & silent[c], F.lit(c)) for c in rules.CATEGORIES]
-        )
-    )
+    words = constant_map(rules.MENTION_WORDS)
+    return F.filter(flags, lambda c: ~F.exists(F.try_element_at(words, c), lambda w: F.contains(lowered, w)))
 
 
 def declared(description: Column) -> Column:
     """Capabilities a description declares, in category order (NULL declares none)."""
     lowered = F.lower(F.coalesce(description, F.lit("")))
-    return F.array_compact(
-        F.array(
-            *[
-                F.when(regex.contains_any(lowered, rules.DECLARE_WORDS[c]), F.lit(c))
-                for c in rules.CATEGORIES
-            ]
-        )
+    words = constant_map(rules.DECLARE_WORDS)
+    return F.filter(
+        constant(rules.CATEGORIES), lambda c: F.exists(F.try_element_at(words, c), lambda w: F.contains(lowered, w))
     )
 
 
 def lookup(key: Column, table: dict, default=None) -> Column:
     """A value from a small fixed table, held as one constant map."""
-    constant = F.create_map(*[F.lit(x) for item in table.items() for x in item])
-    found = F.try_element_at(constant, key)
+    found = F.try_element_at(constant_map(table), key)
     return found if default is None else F.coalesce(found, F.lit(default))
 
 

@@ -13,6 +13,8 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from toolguard.functions.constants import constant
+
 WORD = r"\p{L}\p{N}_"
 SPACE = r"\t-\r\x1c-\x1f \x85\p{Z}"
 _SETS = {"w": WORD, "s": SPACE, "d": r"\p{Nd}"}
@@ -82,21 +84,17 @@ def any_of(text: Column, patterns: list[str], ignore_case: bool = False) -> Colu
 
 def contains_any(text: Column, words: list[str]) -> Column:
     """True where any word is a substring; stops at the first that is."""
-    return F.exists(words_literal(words), lambda w: F.contains(text, w))
-
-
-def words_literal(words: list[str]) -> Column:
-    return F.array(*[F.lit(w) for w in words])
+    return F.exists(constant(words), lambda w: F.contains(text, w))
 
 
-def first_rule(rules: list[Column], text: Column) -> Column:
-    """The first of the rule structs whose ``pattern`` occurs in the text.
+def first_rule(rules: list[dict], text: Column) -> Column:
+    """The first of the rules whose ``pattern`` occurs in the text, as a struct.
 
     The rules are one constant array, so a long list stays a small expression:
     generated code with a branch per rule outgrows what the JVM will compile.
     Use it behind an ``any_of`` guard; it tries pattern by pattern.
     """
-    return F.get(F.filter(F.array(*rules), lambda r: F.rlike(text, r["pattern"])), F.lit(0))
+    return F.get(F.filter(constant(rules), lambda r: F.rlike(text, r["pattern"])), F.lit(0))
 
 
 def found(text: Column, pattern: Column, index: int) -> Column:

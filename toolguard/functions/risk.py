@@ -32,7 +32,7 @@ def keyword(text: Column, risk_level: Column) -> Column:
     cost three searches and no more.
     """
     words = [
-        F.struct(F.lit(w).alias("word"), F.lit(regex.whole_word([w.replace("_", " ")])).alias("pattern"))
+        {"word": w, "pattern": regex.whole_word([w.replace("_", " ")])}
         for name in LEVELS
         for w in rules.RISK_WORDS[name]
     ]

@@ -77,8 +77,7 @@ def attach_static(tools: DataFrame, findings: DataFrame) -> DataFrame:
     zero = F.lit(0).cast("bigint")
     return (
         salted_join(keyed, per_file, ["repo_id", "__file"], "left", spread=["seq"], hot=hot)
-        .withColumn("static_findings", F.coalesce("static_findings", zero))
-        .withColumn("static_serious", F.coalesce("static_serious", zero))
+        .withColumns({c: F.coalesce(c, zero) for c in ("static_findings", "static_serious")})
         .drop("__file")
     )
 
@@ -92,9 +91,13 @@ def attach_shadowing(tools: DataFrame, by_name: DataFrame) -> DataFrame:
     zero = F.lit(0).cast("bigint")
     return (
         salted_join(tools, counts, keys, "left", spread=["file", "seq"], hot=hot)
-        .withColumn("registrations", F.coalesce("registrations", F.lit(1).cast("bigint")))
-        .withColumn("redirects", F.coalesce("redirects", zero))
-        .withColumn("shadowing_count", F.coalesce("shadowing_count", zero))
+        .withColumns(
+            {
+                "registrations": F.coalesce("registrations", zero + 1),
+                "redirects": F.coalesce("redirects", zero),
+                "shadowing_count": F.coalesce("shadowing_count", zero),
+            }
+        )
     )
 
 

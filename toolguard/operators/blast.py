@@ -9,12 +9,14 @@ from toolguard import rules
 from toolguard.functions import capabilities as caps
 from toolguard.functions import regex
 from toolguard.functions.risk import searchable
-from toolguard.scale import all_of, hottest, salted_join
+from toolguard.functions.constants import constant, constant_map, let
+from toolguard.scale import hottest, salted_join
 
 
 def _points(capabilities: Column, table: dict[str, int]) -> Column:
-    return sum(
-        (F.when(F.array_contains(capabilities, c), p).otherwise(0) for c, p in table.items()), F.lit(0)
+    points = constant_map(table)
+    return F.aggregate(
+        capabilities, F.lit(0), lambda total, c: total + F.coalesce(F.try_element_at(points, c), F.lit(0))
     )
 
 
@@ -28,21 +30,21 @@ def downstream_points(capabilities: Column) -> Column:
     return F.least(_points(capabilities, per_category), F.lit(rules.DOWNSTREAM_CAP))
 
 
-def _chain_open(capabilities: Column, required: list[str]) -> Column:
-    return all_of([F.array_contains(capabilities, c) for c in required])
+def open_chains(capabilities: Column) -> Column:
+    """The chains whose required capabilities are all there, in list order."""
+    chains = [
+        {"name": name, "description": text, "reaches": targets, "requires": need}
+        for name, need, targets, text in rules.CHAINS
+    ]
+    return F.filter(constant(chains), lambda p: F.size(F.array_except(p["requires"], capabilities)) == 0)
 
 
 def chain_points(capabilities: Column) -> Column:
-    total = sum(
-        (F.when(_chain_open(capabilities, need), rules.CHAIN_POINTS).otherwise(0) for _, need, _, _ in rules.CHAINS),
-        F.lit(0),
-    )
-    return F.least(total, F.lit(rules.CHAIN_CAP))
+    return F.least(F.size(open_chains(capabilities)) * rules.CHAIN_POINTS, F.lit(rules.CHAIN_CAP))
 
 
-def risk_points(name: Column, description: Column, risk_level: Column) -> Column:
+def risk_points(text: Column, risk_level: Column) -> Column:
     """Points for the risk level, plus those of the highest tier of words in the text."""
-    text = searchable(name, description)
     words = None
     for points, tier in rules.IMPACT_WORDS:
         words = (F if words is None else words).when(text.rlike(regex.whole_word(tier)), points)
@@ -58,50 +60,48 @@ def label(score: Column) -> Column:
 
 def attack_paths(capabilities: Column) -> Column:
     """Open chains in list order, then one direct path per capability."""
-
-    def path(name: str, description: str, reaches: list[str], needs: list[str]) -> Column:
-        return F.struct(
-            F.lit(name).alias("name"),
-            F.lit(description).alias("description"),
-            F.array(*[F.lit(r) for r in reaches]).alias("reaches"),
-            F.array(*[F.lit(n) for n in needs]).alias("requires"),
-        )
-
-    chains = F.array(*[path(name, text, targets, need) for name, need, targets, text in rules.CHAINS])
-    direct = F.create_map(
-        *[
-            part
+    direct = constant_map(
+        {
+            c: {"name": f"Direct {c}", "description": f"Tool can {text}", "reaches": targets, "requires": [c]}
             for c, (_, text, targets) in rules.DOWNSTREAM.items()
-            for part in (F.lit(c), path(f"Direct {c}", f"Tool can {text}", targets, [c]))
-        ]
-    )
-    return F.concat(
-        F.filter(chains, lambda p: F.size(F.array_except(p["requires"], capabilities)) == 0),
-        F.array_compact(F.transform(capabilities, lambda c: F.try_element_at(direct, c))),
+        }
     )
+    each = F.transform(capabilities, lambda c: F.try_element_at(direct, c))
+    return F.concat(open_chains(capabilities), F.array_compact(each))
 
 
-def blast_radius(name: Column, description: Column, capabilities: Column, risk_level: Column) -> Column:
-    """Score, label, score components and attack paths as one struct."""
+def blast_radius(text: Column, capabilities: Column, risk_level: Column) -> Column:
+    """Score, label, score components and attack paths as one struct.
+
+    ``text`` is the ``searchable`` form of the tool's name and description.
+    """
     parts = F.struct(
         capability_points(capabilities).alias("capability_amplification"),
         downstream_points(capabilities).alias("downstream_targets"),
         chain_points(capabilities).alias("combination_paths"),
-        risk_points(name, description, risk_level).alias("risk_amplification"),
+        risk_points(text, risk_level).alias("risk_amplification"),
     )
-    total = sum((parts[p] for p in (
-        "capability_amplification", "downstream_targets", "combination_paths", "risk_amplification"
-    )), F.lit(0))
-    score = F.least(total, F.lit(rules.BLAST_CAP))
-    return F.struct(
-        score.alias("score"), label(score).alias("label"), parts.alias("components"),
-        attack_paths(capabilities).alias("attack_paths"),
+
+    def scored(p: Column) -> Column:
+        total = (
+            p["capability_amplification"] + p["downstream_targets"] + p["combination_paths"] + p["risk_amplification"]
+        )
+        return F.struct(F.least(total, F.lit(rules.BLAST_CAP)).alias("score"), p.alias("components"))
+
+    return let(
+        let(parts, scored),
+        lambda s: F.struct(
+            s["score"].alias("score"),
+            label(s["score"]).alias("label"),
+            s["components"].alias("components"),
+            attack_paths(capabilities).alias("attack_paths"),
+        ),
     )
 
 
 def by_name(analyses: DataFrame) -> DataFrame:
     """Blast radius per name, from its permission analysis (severity as risk level)."""
-    radius = blast_radius(F.col("name"), F.lit(""), F.col("actual"), F.col("severity"))
+    radius = blast_radius(searchable(F.col("name"), F.lit("")), F.col("actual"), F.col("severity"))
     return analyses.withColumn("blast", radius).select(
         "repo_id", "name", "blast.score", "blast.label", "blast.components", "blast.attack_paths"
     )

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from toolguard import rules
 from toolguard.functions import regex
+from toolguard.functions.constants import constant, constant_map
 
 FINDING = "struct<type:string,detail:string,confidence:string,severity:string,matched_text:string>"
 LOWERED_CONFIDENCE = {"HIGH": "MEDIUM", "MEDIUM": "LOW"}
@@ -34,12 +35,12 @@ def instruction_phrase(description: Column) -> Column:
     lowered = F.lower(description)
     framed = regex.any_of(lowered, rules.LEGITIMATE_FRAMING)
     phrases = [
-        F.struct(
-            F.lit(regex.java(pattern)).alias("pattern"),
-            F.lit(confidence).alias("plain"),
-            F.lit(LOWERED_CONFIDENCE.get(confidence, confidence)).alias("framed"),
-            F.lit(explanation).alias("detail"),
-        )
+        {
+            "pattern": regex.java(pattern),
+            "plain": confidence,
+            "framed": LOWERED_CONFIDENCE.get(confidence, confidence),
+            "detail": explanation,
+        }
         for pattern, confidence, explanation in rules.INSTRUCTION_PHRASES
     ]
     suspicious = regex.any_of(lowered, [p for p, _, _ in rules.INSTRUCTION_PHRASES])
@@ -55,8 +56,8 @@ def instruction_phrase(description: Column) -> Column:
 
 def hidden_characters(description: Column) -> Column:
     """A zero-width character; the first listed one that occurs is reported."""
-    shown = F.create_map(*[F.lit(x) for ch in rules.ZERO_WIDTH for x in (ch, f"'\\u{ord(ch):04x}'")])
-    first = F.get(F.filter(regex.words_literal(rules.ZERO_WIDTH), lambda c: F.contains(description, c)), F.lit(0))
+    shown = constant_map({ch: f"'\\u{ord(ch):04x}'" for ch in rules.ZERO_WIDTH})
+    first = F.get(F.filter(constant(rules.ZERO_WIDTH), lambda c: F.contains(description, c)), F.lit(0))
     hidden = description.rlike(f"[{''.join(rules.ZERO_WIDTH)}]")
     return F.when(
         hidden, _finding("Hidden characters", rules.HIDDEN_TEXT, "HIGH", "HIGH", F.try_element_at(shown, first))

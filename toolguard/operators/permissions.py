@@ -7,23 +7,30 @@ from pyspark.sql import functions as F
 
 from toolguard import rules
 from toolguard.functions import capabilities as caps
+from toolguard.functions.constants import let
 
 
 def matrix(actual: Column, declared: Column) -> Column:
     """Compare two capability sets; every list in it is sorted."""
-    undisclosed = F.array_sort(F.array_except(actual, declared))
-    extra = F.array_sort(F.array_except(declared, actual))
-    active = F.array_union(actual, declared)
-    silent = (F.size(active) > 1) & (F.size(declared) == 0)
-    return F.struct(
-        F.array_sort(declared).alias("declared"),
-        F.array_sort(actual).alias("actual"),
-        undisclosed.alias("undisclosed_actual"),
-        extra.alias("extra_declared"),
-        F.when(silent, F.array_sort(actual)).otherwise(caps.no_flags()).alias("excessive"),
-        F.size(active).alias("permission_count"),
-        (F.size(undisclosed) > 0).alias("has_undisclosed"),
-        (F.size(extra) > 0).alias("has_extra_declared"),
+    sets = F.struct(
+        F.sort_array(declared).alias("declared"),
+        F.sort_array(actual).alias("actual"),
+        F.sort_array(F.array_except(actual, declared)).alias("undisclosed"),
+        F.sort_array(F.array_except(declared, actual)).alias("extra"),
+        F.size(F.array_union(actual, declared)).alias("active"),
+    )
+    return let(
+        sets,
+        lambda s: F.struct(
+            s["declared"].alias("declared"),
+            s["actual"].alias("actual"),
+            s["undisclosed"].alias("undisclosed_actual"),
+            s["extra"].alias("extra_declared"),
+            F.when((s["active"] > 1) & (F.size(s["declared"]) == 0), s["actual"]).otherwise(caps.no_flags()).alias("excessive"),
+            s["active"].alias("permission_count"),
+            (F.size(s["undisclosed"]) > 0).alias("has_undisclosed"),
+            (F.size(s["extra"]) > 0).alias("has_extra_declared"),
+        ),
     )
 
 
@@ -71,12 +78,18 @@ def analyze(tools: DataFrame) -> DataFrame:
 
     ``tools`` has a ``file_flags`` column for tools that come without a snippet.
     """
+    sets = {
+        "__actual": actual_capabilities(F.col("code_snippet"), F.col("file_flags")),
+        "__declared": caps.declared(F.col("description")),
+    }
+    results = {
+        "permission_severity": severity(F.col("permission_matrix.undisclosed_actual")),
+        "permission_findings": findings(F.col("permission_matrix")),
+    }
     return (
-        tools.withColumn("__actual", actual_capabilities(F.col("code_snippet"), F.col("file_flags")))
-        .withColumn("__declared", caps.declared(F.col("description")))
+        tools.withColumns(sets)
         .withColumn("permission_matrix", matrix(F.col("__actual"), F.col("__declared")))
-        .withColumn("permission_severity", severity(F.col("permission_matrix.undisclosed_actual")))
-        .withColumn("permission_findings", findings(F.col("permission_matrix")))
+        .withColumns(results)
         .drop("__actual", "__declared")
     )
 

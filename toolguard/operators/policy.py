@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from toolguard import rules
 from toolguard.functions import arguments as args
 from toolguard.functions import regex
+from toolguard.functions.constants import constant
 from toolguard.scale import all_of, one_of
 
 REGEX_MARKS = ("(", "\\")
@@ -121,12 +122,7 @@ def _rule_condition(rule: dict, arg_columns: dict[str, Column]) -> Column:
 
 
 def _outcome(action: str, rule: str, reason: str, severity: str) -> Column:
-    return F.struct(
-        F.lit(action).alias("action"),
-        F.lit(rule).alias("rule"),
-        F.lit(reason).alias("reason"),
-        F.lit(severity).alias("severity"),
-    )
+    return constant({"action": action, "rule": rule, "reason": reason, "severity": severity})
 
 
 def decide(calls: DataFrame, policy: dict) -> DataFrame:

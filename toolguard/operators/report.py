@@ -5,27 +5,25 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from toolguard import rules
 from toolguard.functions import capabilities as caps
 from toolguard.functions import risk
+from toolguard.functions.constants import constant
 from toolguard.operators import attach, blast, guidance, injection, permissions, shadowing
 
 
 def score() -> Column:
     """RED, YELLOW or GREEN from the findings in the row."""
-    severities = caps.mismatch_severities(F.col("mismatches"))
+    high = [c for c, severity in rules.MISMATCH_SEVERITY.items() if severity == "HIGH"]
     red = (
         (F.size("injection_findings") > 0)
         | (F.col("shadowing_count") > 0)
         | (F.col("static_serious") > 0)
-        | F.array_contains(severities, "HIGH")
+        | F.arrays_overlap("mismatches", constant(high))
         | (F.col("risk_level") == "CRITICAL")
     )
-    yellow = (
-        F.array_contains(severities, "MEDIUM")
-        | F.array_contains(severities, "LOW")
-        | (F.col("static_findings") > 0)
-        | F.col("risk_level").isin("HIGH", "MEDIUM")
-    )
+    # Any other mismatch is MEDIUM or LOW; either way the tool is YELLOW.
+    yellow = (F.size("mismatches") > 0) | (F.col("static_findings") > 0) | (F.col("risk_level") != "LOW")
     return F.when(red, "RED").when(yellow, "YELLOW").otherwise("GREEN")
 
 
@@ -46,17 +44,23 @@ def with_behavior(tools: DataFrame) -> DataFrame:
 
 def with_row_findings(tools: DataFrame) -> DataFrame:
     """Add all that a row tells by itself: risk, injection, permissions, blast radius."""
-    described = (
-        tools.withColumn("__text", risk.searchable(F.col("name"), F.col("description")))
-        .withColumn("risk_level", risk.level(F.col("__text")))
-        .withColumn("risk_keyword", risk.keyword(F.col("__text"), F.col("risk_level")))
-        .withColumn("risk_explanation", risk.explanation(F.col("risk_level")))
-        .withColumn("risk_prevention", guidance.risk_prevention(F.col("risk_level")))
-        .withColumn("injection_findings", injection.findings(F.col("description")))
-        .drop("__text")
+    text, level = F.col("__text"), F.col("risk_level")
+    described = permissions.analyze(
+        tools.withColumns(
+            {
+                "__text": risk.searchable(F.col("name"), F.col("description")),
+                "injection_findings": injection.findings(F.col("description")),
+            }
+        ).withColumn("risk_level", risk.level(text))
+    )
+    return described.withColumns(
+        {
+            "risk_keyword": risk.keyword(text, level),
+            "risk_explanation": risk.explanation(level),
+            "risk_prevention": guidance.risk_prevention(level),
+            "blast_radius": blast.blast_radius(text, F.col("actual_behavior"), level),
+        }
     )
-    radius = blast.blast_radius(F.col("name"), F.col("description"), F.col("actual_behavior"), F.col("risk_level"))
-    return permissions.analyze(described).withColumn("blast_radius", radius)
 
 
 def tool_report(tools: DataFrame, static_findings: DataFrame, verdicts: DataFrame | None = None) -> DataFrame:

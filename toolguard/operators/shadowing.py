@@ -17,11 +17,11 @@ def redirect(description: Column) -> Column:
     """The first *listed* redirect phrase, as a finding (NULL if there is none)."""
     start, middle, end = _split(rules.REDIRECT_TEXT, ["{explanation}", "{referenced}"])
     phrases = [
-        F.struct(
-            F.lit(regex.java(pattern, ignore_case=True)).alias("pattern"),
-            F.lit(confidence).alias("confidence"),
-            F.lit(start + explanation + middle).alias("before"),
-        )
+        {
+            "pattern": regex.java(pattern, ignore_case=True),
+            "confidence": confidence,
+            "before": start + explanation + middle,
+        }
         for pattern, confidence, explanation in rules.REDIRECT_PHRASES
     ]
     first = F.transform(

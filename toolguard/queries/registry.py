@@ -206,10 +206,9 @@ def last_analysis_by_name(spark, folder):
 # --------------------------------------------------------------- blast radius
 def _radius(spark, folder) -> DataFrame:
     text = risk.searchable(F.col("name"), F.col("description"))
-    behaving = report.with_behavior(tools_with_flags(spark, folder)).withColumn("risk_level", risk.level(text))
-    return behaving.withColumn(
-        "b", blast.blast_radius(F.col("name"), F.col("description"), F.col("actual_behavior"), F.col("risk_level"))
-    )
+    behaving = report.with_behavior(tools_with_flags(spark, folder)).withColumn("text", text)
+    leveled = behaving.withColumn("risk_level", risk.level(F.col("text")))
+    return leveled.withColumn("b", blast.blast_radius(F.col("text"), F.col("actual_behavior"), F.col("risk_level")))
 
 
 @query

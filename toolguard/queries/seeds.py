@@ -95,7 +95,7 @@ EXPECTED = {
     ],
     "broken": [
         ("blk_{lang}", "{strip}", None),
-        ("broken_{lang}", "Doc text", "def broken(x):\n    \"\"\"Doc text\"\"\"\n    return x\n"),
+        ("broken_{lang}", "No description found", "def broken(x):\n    \"\"\"Doc text\"\"\"\n    return x\n"),
     ],
 }
 # Behavior flags of each kind of file as a whole, in category order.

@@ -5,12 +5,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from toolguard import rules
 from toolguard.functions import capabilities as caps
+from toolguard.functions.constants import constant
 from toolguard.queries import seeds
 
+_SCHEMAS: dict = {}
+
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    """A given table; its schema is read from the files once per application."""
+    key = (spark.sparkContext.applicationId, folder, name)
+    if key not in _SCHEMAS:
+        _SCHEMAS[key] = spark.read.parquet(f"{folder}/{name}.parquet").schema
+    return spark.read.schema(_SCHEMAS[key]).parquet(f"{folder}/{name}.parquet")
 
 
 def stream(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -31,7 +39,7 @@ def pick(key: Column, choices: list[Column]) -> Column:
 
 
 def _texts(key: Column, templates: list, **values: Column) -> Column:
-    return fill(pick(key, [F.lit(t).cast("string") for t in templates]), **values)
+    return fill(F.get(constant(templates), F.pmod(key, F.lit(len(templates))).cast("int")), **values)
 
 
 def _tool_rows(rows: DataFrame) -> DataFrame:
@@ -72,7 +80,8 @@ def file_flags(spark: SparkSession, folder: str) -> DataFrame:
         "repo_id", F.col("file").alias("path"),
         F.explode(caps.flags_by_language(F.col("code_snippet"), caps.is_js(F.col("file")))).alias("flag"),
     )
-    return found.groupBy("repo_id", "path").agg(F.array_sort(F.collect_set("flag")).alias("flags"))
+    in_order = F.filter(constant(rules.CATEGORIES), lambda c: F.array_contains("flags", c)).alias("flags")
+    return found.groupBy("repo_id", "path").agg(F.collect_set("flag").alias("flags")).select("repo_id", "path", in_order)
 
 
 def repos(spark: SparkSession, folder: str) -> DataFrame:
@@ -84,7 +93,7 @@ def repos(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def kind(k: Column) -> Column:
-    return pick(k, [F.lit(x) for x in ("decorated", "decorated", "constructed", "script", "broken")])
+    return _texts(k, ["decorated", "decorated", "constructed", "script", "broken"])
 
 
 def escaped(text: Column) -> Column:
@@ -184,11 +193,7 @@ def verdicts(spark: SparkSession, folder: str) -> DataFrame:
 def _call_rows(events: DataFrame) -> DataFrame:
     k = F.col("event_id")
     values = dict(k=F.col("user_id"), props=F.col("props"), value=F.col("value").cast("string"))
-    capability_lists = [
-        F.lit(None).cast("array<string>") if c is None
-        else F.array(*[F.lit(x) for x in c]).cast("array<string>")
-        for c in seeds.CALL_CAPABILITIES
-    ]
+    capability_lists = [F.lit(None) if c is None else constant(c) for c in seeds.CALL_CAPABILITIES]
     return events.select(
         k.alias("event_id"),
         F.col("ts").alias("call_ts"),

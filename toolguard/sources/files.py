@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from toolguard import rules
 from toolguard.functions import capabilities as caps
+from toolguard.functions.constants import constant
 from toolguard.scale import first_per_group
 
 EXTENSIONS = "*.{py,js,ts,mjs,cjs,jsx,tsx,txt}"
@@ -41,7 +44,11 @@ def _parts(path: Column) -> Column:
 
 
 def _has_part(parts: Column, names: tuple[str, ...]) -> Column:
-    return F.arrays_overlap(parts, F.array(*[F.lit(n) for n in names]))
+    return F.arrays_overlap(parts, constant(names))
+
+
+def _ends(text: Column, suffixes: tuple[str, ...]) -> Column:
+    return text.rlike(f"(?:{'|'.join(re.escape(s) for s in suffixes)})\\z")
 
 
 def _folders(path: Column) -> Column:
@@ -65,10 +72,7 @@ def is_js_skipped(path: Column) -> Column:
     """Test and build folders, test and type declaration files."""
     parts = _parts(path)
     name = F.element_at(parts, -1)
-    skipped = _has_part(parts, rules.JS_SKIPPED_DIRS)
-    for suffix in rules.JS_SKIPPED_SUFFIXES:
-        skipped = skipped | name.endswith(suffix)
-    return skipped
+    return _has_part(parts, rules.JS_SKIPPED_DIRS) | _ends(name, rules.JS_SKIPPED_SUFFIXES)
 
 
 def is_python_source(path: Column) -> Column:
@@ -77,10 +81,7 @@ def is_python_source(path: Column) -> Column:
 
 
 def is_js_source(path: Column) -> Column:
-    listed = F.lit(False)
-    for extension in rules.JS_EXTENSIONS:
-        listed = listed | path.endswith(extension)
-    return listed & ~_has_part(_folders(path), rules.JS_PRUNED_DIRS) & ~is_js_skipped(path)
+    return _ends(path, rules.JS_EXTENSIONS) & ~_has_part(_folders(path), rules.JS_PRUNED_DIRS) & ~is_js_skipped(path)
 
 
 def without_file_behavior(path: Column) -> Column:
