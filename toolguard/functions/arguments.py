@@ -112,22 +112,36 @@ def _json_value(value: Column, plain: Column) -> Column:
     )
 
 
-def _json_object(args: Column, value_json) -> Column:
+def entries(args: Column) -> Column:
+    """The arguments sorted by name: JSON of the name, of the value, and of a long string's start."""
     typed, plain = args["typed"], args["plain"]
-    pairs = F.transform(
-        F.array_sort(F.map_keys(typed)),
-        lambda k: F.concat(
-            json_string(k),
-            F.lit(": "),
-            value_json(typed[k], plain[k]),
-        ),
-    )
+
+    def entry(k: Column) -> Column:
+        cut = F.concat(F.substring(plain[k], 1, LOG_KEPT), F.lit(LOG_MARK))
+        is_long = (F.length(plain[k]) > LOG_LIMIT) & _is(typed[k], "STRING")
+        return F.struct(
+            json_string(k).alias("name"),
+            _json_value(typed[k], plain[k]).alias("value"),
+            F.when(is_long, json_string(cut)).alias("cut"),
+        )
+
+    return F.transform(F.array_sort(F.map_keys(typed)), entry)
+
+
+def _json_object(pairs: Column) -> Column:
     return F.concat(F.lit("{"), F.array_join(pairs, ", "), F.lit("}"))
 
 
-def canonical(args: Column) -> Column:
+def canonical(arg_entries: Column) -> Column:
     """The object as JSON with sorted keys, spaced separators and ASCII escapes."""
-    return _json_object(args, _json_value)
+    return _json_object(F.transform(arg_entries, lambda e: F.concat(e["name"], F.lit(": "), e["value"])))
+
+
+def log_form(arg_entries: Column) -> Column:
+    """The same, but of long strings only their first characters."""
+    return _json_object(
+        F.transform(arg_entries, lambda e: F.concat(e["name"], F.lit(": "), F.coalesce(e["cut"], e["value"])))
+    )
 
 
 def call_id(tool_name: Column, canonical_arguments: Column) -> Column:
@@ -135,19 +149,6 @@ def call_id(tool_name: Column, canonical_arguments: Column) -> Column:
     return F.substring(F.sha2(F.concat(tool_name, F.lit(":"), canonical_arguments), 256), 1, 16)
 
 
-def log_form(args: Column, canonical_arguments: Column) -> Column:
-    """Canonical JSON in which long strings are cut to their first characters."""
-
-    def shortened(value: Column, plain: Column) -> Column:
-        long_text = _is(value, "STRING") & (F.length(plain) > LOG_LIMIT)
-        cut = F.concat(F.substring(plain, 1, LOG_KEPT), F.lit(LOG_MARK))
-        return F.when(long_text, json_string(cut)).otherwise(_json_value(value, plain))
-
-    # Only calls with some long argument are rendered again.
-    may_be_long = F.exists(F.map_values(args["plain"]), lambda v: F.length(v) > LOG_LIMIT)
-    return F.when(may_be_long, _json_object(args, shortened)).otherwise(canonical_arguments)
-
-
 def rule_texts(args: Column, names: list[str]) -> Column:
     """Map from argument name to the text a rule sees for it."""
     wanted = constant(names)

@@ -76,10 +76,39 @@ def _escape(pattern: str, i: int, in_class: bool) -> str:
     return "\\" + kind
 
 
+def hint(pattern: str) -> str:
+    """The longest literal that every match of the pattern contains ('' if there is none)."""
+    runs, depth, i = [""], 0, 0
+    while i < len(pattern):
+        c = pattern[i]
+        if c == "|" and depth == 0:
+            return ""
+        width = 2 if c == "\\" else pattern.find("]", i + 2) + 1 - i if c == "[" else 1
+        literal = pattern[i + 1] if width == 2 and not pattern[i + 1].isalnum() else c
+        depth += (width == 1) * ((c == "(") - (c == ")"))
+        plain = (width == 1 and c not in "()[].^$|?*+{") or (c == "\\" and literal != c)
+        optional = pattern[i + width : i + width + 1] in ("?", "*", "{")
+        if plain and depth == 0 and not optional:
+            runs[-1] += literal
+        elif runs[-1]:
+            runs.append("")
+        i += width
+    return max(runs, key=len)
+
+
 def any_of(text: Column, patterns: list[str], ignore_case: bool = False) -> Column:
-    """True where any pattern is found: one alternation, so one pass over the text."""
-    joined = "|".join(f"(?:{java(p)})" for p in patterns)
-    return text.rlike(("(?iu)" if ignore_case else "") + joined)
+    """True where any pattern is found: one alternation, so one pass over the text.
+
+    Most texts hold none of the words that the patterns are built on.  Looking
+    for those first is many times cheaper than running patterns on every text.
+    """
+    joined = ("(?iu)" if ignore_case else "") + "|".join(f"(?:{java(p)})" for p in patterns)
+    hints = sorted({hint(p) for p in patterns})
+    if min(map(len, hints)) < 2:
+        return text.rlike(joined)
+    # Two letters have case variants that lowercasing keeps apart.
+    folded = F.translate(F.lower(text), "\u017f\u0131", "si") if ignore_case else text
+    return contains_any(folded, hints) & text.rlike(joined)
 
 
 def contains_any(text: Column, words: list[str]) -> Column:
@@ -103,8 +132,12 @@ def found(text: Column, pattern: Column, index: int) -> Column:
 
 
 def whole_word(words: list[str]) -> str:
-    """Java pattern for any of the words, not inside a longer word."""
-    return f"(?<![{WORD}])(?:{'|'.join(re.escape(w) for w in words)})(?![{WORD}])"
+    """Java pattern for any of the words, not inside a longer word.
+
+    The look at the first letter comes first: it is what most positions fail on.
+    """
+    first = "".join(sorted({re.escape(w[0]) for w in words}))
+    return f"(?=[{first}])(?<![{WORD}])(?:{'|'.join(re.escape(w) for w in words)})(?![{WORD}])"
 
 
 def group(text: Column, pattern: str, index: int, ignore_case: bool = False) -> Column:

@@ -18,9 +18,9 @@ def searchable(name: Column, description: Column) -> Column:
 
 
 def level(text: Column) -> Column:
-    """Risk level of a searchable text: one alternation per level."""
-    case = F.when(text.rlike(_words("CRITICAL")), "CRITICAL")
-    for name in LEVELS[1:]:
+    """Risk level of a searchable text: one search for all words, more only where it hits."""
+    case = F.when(~text.rlike(_words(*LEVELS)), "LOW")
+    for name in LEVELS:
         case = case.when(text.rlike(_words(name)), name)
     return case.otherwise("LOW")
 
@@ -44,5 +44,5 @@ def explanation(risk_level: Column) -> Column:
     return lookup(risk_level, rules.RISK_TEXT)
 
 
-def _words(name: str) -> str:
-    return regex.whole_word([w.replace("_", " ") for w in rules.RISK_WORDS[name]])
+def _words(*levels: str) -> str:
+    return regex.whole_word([w.replace("_", " ") for name in levels for w in rules.RISK_WORDS[name]])

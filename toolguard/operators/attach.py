@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from toolguard import rules
 from toolguard.functions import capabilities as caps
-from toolguard.scale import hot_keys, hottest, salted_join
+from toolguard.scale import hot_keys, hottest, salted_join, unnest
 from toolguard.sources.files import without_file_behavior
 from toolguard.schemas import TOOL_KEY
 
@@ -15,7 +15,9 @@ from toolguard.schemas import TOOL_KEY
 def file_behavior(files: DataFrame) -> DataFrame:
     """Files with at least one behavior flag (a map over files, no shuffle)."""
     flags = caps.flags_by_language(F.col("content"), caps.is_js(F.col("path")))
-    return files.select("repo_id", "path", flags.alias("flags")).where(F.size("flags") > 0)
+    # Through an array of one, so that the size test does not compute the flags again.
+    found = F.filter(F.array(flags), lambda f: F.size(f) > 0)
+    return unnest(files, ["repo_id", "path"], found, "flags")
 
 
 def attach_file_flags(tools: DataFrame, behavior: DataFrame) -> DataFrame:
@@ -109,9 +111,7 @@ def confirmed_mismatches(tools: DataFrame, verdicts: DataFrame, limit: int = rul
     keeps at most ``limit`` rows of a repo per task before it shuffles, and what
     it yields is joined by tool, so each tool meets at most four verdicts.
     """
-    each = tools.select(
-        *TOOL_KEY, "language", F.posexplode("mismatches").alias("at", "category")
-    )
+    each = unnest(tools, [*TOOL_KEY, "language"], F.col("mismatches"), "category", "at")
     order = Window.partitionBy("repo_id").orderBy(
         F.when(F.col("language") == "Python", 0).otherwise(1), "file", "seq", "at"
     )

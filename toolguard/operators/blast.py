@@ -45,9 +45,11 @@ def chain_points(capabilities: Column) -> Column:
 
 def risk_points(text: Column, risk_level: Column) -> Column:
     """Points for the risk level, plus those of the highest tier of words in the text."""
-    words = None
-    for points, tier in rules.IMPACT_WORDS:
-        words = (F if words is None else words).when(text.rlike(regex.whole_word(tier)), points)
+    # The text has no underscores, so words with one can be left out of the search.
+    tiers = [(points, [w for w in tier if "_" not in w]) for points, tier in rules.IMPACT_WORDS]
+    words = F.when(~text.rlike(regex.whole_word([w for _, tier in tiers for w in tier])), 0)
+    for points, tier in tiers:
+        words = words.when(text.rlike(regex.whole_word(tier)), points)
     return caps.lookup(risk_level, rules.RISK_BASE_POINTS, 2) + words.otherwise(0)
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from toolguard import rules
 from toolguard.functions import regex
 from toolguard.functions.constants import constant, constant_map
+from toolguard.scale import unnest
 
 FINDING = "struct<type:string,detail:string,confidence:string,severity:string,matched_text:string>"
 LOWERED_CONFIDENCE = {"HIGH": "MEDIUM", "MEDIUM": "LOW"}
@@ -87,6 +88,5 @@ def findings(description: Column) -> Column:
 
 def injection_findings(tools: DataFrame) -> DataFrame:
     """One row per finding, with the tool it is about."""
-    return tools.select(
-        "repo_id", "file", "seq", F.col("name").alias("tool"), F.explode(findings(F.col("description"))).alias("f")
-    ).select("repo_id", "file", "seq", "tool", "f.*")
+    found = unnest(tools, ["repo_id", "file", "seq", "name"], findings(F.col("description")), "f")
+    return found.select("repo_id", "file", "seq", F.col("name").alias("tool"), "f.*")

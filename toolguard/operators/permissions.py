@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from toolguard import rules
 from toolguard.functions import capabilities as caps
 from toolguard.functions.constants import let
+from toolguard.scale import unnest
 
 
 def matrix(actual: Column, declared: Column) -> Column:
@@ -96,9 +97,10 @@ def analyze(tools: DataFrame) -> DataFrame:
 
 def permission_findings(analyzed: DataFrame) -> DataFrame:
     """One row per permission finding."""
-    return analyzed.select(
-        "repo_id", "file", "seq", F.col("name").alias("tool"), F.explode("permission_findings").alias("f")
-    ).select("repo_id", "file", "seq", "tool", "f.type", "f.category", "f.severity", "f.detail")
+    found = unnest(analyzed, ["repo_id", "file", "seq", "name"], F.col("permission_findings"), "f")
+    return found.select(
+        "repo_id", "file", "seq", F.col("name").alias("tool"), "f.type", "f.category", "f.severity", "f.detail"
+    )
 
 
 def last_by_name(analyzed: DataFrame) -> DataFrame:

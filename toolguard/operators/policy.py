@@ -151,9 +151,13 @@ def decide(calls: DataFrame, policy: dict) -> DataFrame:
     fallback = _outcome(default, "default_action", f"No rule matched; using default action: {default}", "LOW")
     return (
         prepared.withColumn("__hit", F.coalesce("__hit", fallback))
-        .withColumn("__canonical", args.canonical(F.col("__args")))
-        .withColumn("call_id", args.call_id(F.col("tool_name"), F.col("__canonical")))
-        .withColumn("logged_arguments", args.log_form(F.col("__args"), F.col("__canonical")))
+        .withColumn("__entries", args.entries(F.col("__args")))
+        .withColumns(
+            {
+                "call_id": args.call_id(F.col("tool_name"), args.canonical(F.col("__entries"))),
+                "logged_arguments": args.log_form(F.col("__entries")),
+            }
+        )
         .select(
             *calls.columns,
             "call_id",

@@ -18,7 +18,7 @@ from toolguard.operators import (
 )
 from toolguard.plans import scan
 from toolguard.queries import views
-from toolguard.scale import checkpoint_folder
+from toolguard.scale import checkpoint_folder, unnest
 from toolguard.sources import files, requirements
 from toolguard.streaming import calls as call_streams
 from toolguard.streaming import scans as scan_streams
@@ -83,9 +83,9 @@ def policy_default_trail(spark, folder):
 
 @query
 def call_ids(spark, folder):
-    calls = views.calls(spark, folder).withColumn("__args", args.parsed(F.col("arguments")))
+    calls = views.calls(spark, folder).withColumn("entries", args.entries(args.parsed(F.col("arguments"))))
     name = F.coalesce("tool_name", F.lit("unknown"))
-    written = calls.withColumn("canonical_arguments", args.canonical(F.col("__args")))
+    written = calls.withColumn("canonical_arguments", args.canonical(F.col("entries")))
     return written.select("event_id", "canonical_arguments", args.call_id(name, F.col("canonical_arguments")).alias("call_id"))
 
 
@@ -218,7 +218,7 @@ def blast_radius(spark, folder):
 
 @query
 def attack_paths(spark, folder):
-    paths = _radius(spark, folder).select("repo_id", "file", "seq", F.posexplode("b.attack_paths").alias("ord", "p"))
+    paths = unnest(_radius(spark, folder), ["repo_id", "file", "seq"], F.col("b.attack_paths"), "p", "ord")
     return paths.select(
         "repo_id", "file", "seq", "ord", F.col("p.name").alias("path"), "p.description",
         listed(F.col("p.reaches")).alias("reaches"), listed(F.col("p.requires")).alias("requires"),
@@ -356,9 +356,10 @@ def reviewed_mismatches(spark, folder):
 def finding_guidance(spark, folder):
     found = report.with_behavior(tools_with_flags(spark, folder))
     text = risk.searchable(F.col("name"), F.col("description"))
-    by_category = found.select(
-        "repo_id", "file", "seq", F.explode(F.transform("mismatches", guidance.capability_guidance)).alias("g"),
-    ).select("repo_id", "file", "seq", F.col("g.category").alias("about"), "g.impact", "g.prevention")
+    explained = F.transform("mismatches", guidance.capability_guidance)
+    by_category = unnest(found, ["repo_id", "file", "seq"], explained, "g").select(
+        "repo_id", "file", "seq", F.col("g.category").alias("about"), "g.impact", "g.prevention"
+    )
     level = risk.level(text)
     by_risk = found.select(
         "repo_id", "file", "seq", level.alias("about"), F.lit(None).cast("string").alias("impact"),
@@ -371,7 +372,7 @@ def finding_guidance(spark, folder):
         )
     )
     by_kind = (
-        found.select("repo_id", "file", "seq", F.explode(kinds).alias("about"))
+        unnest(found, ["repo_id", "file", "seq"], kinds, "about")
         .withColumn("g", guidance.finding_guidance_by(F.col("about")))
         .select("repo_id", "file", "seq", "about", "g.impact", "g.prevention")
     )

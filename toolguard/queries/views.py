@@ -61,13 +61,15 @@ def _tool_rows(rows: DataFrame) -> DataFrame:
 def tools(spark: SparkSession, folder: str) -> DataFrame:
     """A tool per document (long descriptions) and per conversation turn (short ones).
 
-    Half of the turns share one repository, which makes it a hot one.
+    Half of the conversations share three repositories, by role; each other one is its own.
     """
     documents = table(spark, folder, "documents").select(
         F.col("source").alias("repo_id"), F.col("doc_id").alias("k"), "text"
     )
     turns = table(spark, folder, "conversations").select(
-        F.concat(F.lit("chat_"), F.col("role")).alias("repo_id"),
+        F.when(F.col("conv_id") % 2 == 0, F.concat(F.lit("chat_"), F.col("role")))
+        .otherwise(F.concat(F.lit("chat"), F.col("conv_id").cast("string")))
+        .alias("repo_id"),
         (F.col("conv_id") * 100 + F.col("turn")).alias("k"),
         "text",
     )

@@ -252,7 +252,7 @@ TYPOSQUAT_TEXT = (
 # The published contract names no formats beyond these; the rest is our choice.
 AWS_KEY = r"AKIA[0-9A-Z]{16}"
 SECRET_ASSIGNMENT = (
-    r"[A-Za-z0-9_.\-]*(?:[kK][eE][yY]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]"
+    r"(?:[kK][eE][yY]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]"
     r"|[pP][aA][sS][sS][wW][oO][rR][dD])[A-Za-z0-9_.\-]*[ \t]*[:=][ \t]*[\"']([^\"'\s]{16,})[\"']"
 )
 ENTROPY_MEDIUM, ENTROPY_HIGH = 3.0, 4.5

@@ -100,6 +100,16 @@ def first_per_group(
     )
 
 
+def unnest(df: DataFrame, keep: list[str], array: Column, name: str, position: str | None = None) -> DataFrame:
+    """One row per array element.
+
+    A plain ``explode`` makes the optimizer test the array's size in a filter of
+    its own, which computes the array twice; the outer form does not.
+    """
+    made = F.explode_outer(array).alias(name) if position is None else F.posexplode_outer(array).alias(position, name)
+    return df.select(*keep, made).where(F.col(name).isNotNull())
+
+
 def all_of(conditions: list[Column]) -> Column:
     return reduce(lambda a, b: a & b, conditions, F.lit(True))
 
