@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from toolguard import rules
 from toolguard.functions import regex
-from toolguard.functions.constants import constant, constant_map
+from toolguard.functions.constants import constant, constant_map, let
 
 
 def is_js(path: Column) -> Column:
@@ -59,17 +59,23 @@ def no_flags() -> Column:
 
 def unmentioned(flags: Column, description: Column) -> Column:
     """The flags none of whose words occur in the description."""
-    lowered = F.lower(description)
     words = constant_map(rules.MENTION_WORDS)
-    return F.filter(flags, lambda c: ~F.exists(F.try_element_at(words, c), lambda w: F.contains(lowered, w)))
+
+    def silent(lowered: Column) -> Column:
+        return F.filter(flags, lambda c: ~F.exists(F.try_element_at(words, c), lambda w: F.contains(lowered, w)))
+
+    return F.when(F.size(flags) > 0, let(F.lower(description), silent)).otherwise(no_flags())
 
 
 def declared(description: Column) -> Column:
     """Capabilities a description declares, in category order (NULL declares none)."""
-    lowered = F.lower(F.coalesce(description, F.lit("")))
     words = constant_map(rules.DECLARE_WORDS)
-    return F.filter(
-        constant(rules.CATEGORIES), lambda c: F.exists(F.try_element_at(words, c), lambda w: F.contains(lowered, w))
+    return let(
+        F.lower(F.coalesce(description, F.lit(""))),
+        lambda lowered: F.filter(
+            constant(rules.CATEGORIES),
+            lambda c: F.exists(F.try_element_at(words, c), lambda w: F.contains(lowered, w)),
+        ),
     )
 
 

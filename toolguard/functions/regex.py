@@ -13,7 +13,7 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from toolguard.functions.constants import constant
+from toolguard.functions.constants import constant, let
 
 WORD = r"\p{L}\p{N}_"
 SPACE = r"\t-\r\x1c-\x1f \x85\p{Z}"
@@ -97,18 +97,18 @@ def hint(pattern: str) -> str:
 
 
 def any_of(text: Column, patterns: list[str], ignore_case: bool = False) -> Column:
-    """True where any pattern is found: one alternation, so one pass over the text.
+    """True where any pattern is found.
 
-    Most texts hold none of the words that the patterns are built on.  Looking
-    for those first is many times cheaper than running patterns on every text.
+    Looking for the literal that a pattern is built on is many times cheaper
+    than running it, and most texts hold none of them: so a pattern runs only
+    on texts that hold its literal, and the first that is found ends the search.
     """
-    joined = ("(?iu)" if ignore_case else "") + "|".join(f"(?:{java(p)})" for p in patterns)
-    hints = sorted({hint(p) for p in patterns})
-    if min(map(len, hints)) < 2:
-        return text.rlike(joined)
-    # Two letters have case variants that lowercasing keeps apart.
-    folded = F.translate(F.lower(text), "\u017f\u0131", "si") if ignore_case else text
-    return contains_any(folded, hints) & text.rlike(joined)
+    table = constant([{"hint": hint(p), "pattern": java(p, ignore_case)} for p in patterns])
+
+    def search(literal: Column) -> Column:
+        return F.exists(table, lambda r: F.contains(literal, r["hint"]) & F.rlike(text, r["pattern"]))
+
+    return let(folded(text), search) if ignore_case else search(text)
 
 
 def contains_any(text: Column, words: list[str]) -> Column:
@@ -116,14 +116,22 @@ def contains_any(text: Column, words: list[str]) -> Column:
     return F.exists(constant(words), lambda w: F.contains(text, w))
 
 
-def first_rule(rules: list[dict], text: Column) -> Column:
+def folded(text: Column) -> Column:
+    """Lowercase text for literals; two letters have variants that lowercasing keeps apart."""
+    return F.replace(F.replace(F.lower(text), F.lit("\u017f"), F.lit("s")), F.lit("\u0131"), F.lit("i"))
+
+
+def first_rule(rules: list[dict], text: Column, folded_text: Column | None = None) -> Column:
     """The first of the rules whose ``pattern`` occurs in the text, as a struct.
 
     The rules are one constant array, so a long list stays a small expression:
     generated code with a branch per rule outgrows what the JVM will compile.
-    Use it behind an ``any_of`` guard; it tries pattern by pattern.
+    A pattern is tried where its rule's ``hint`` occurs, so rarely any is.
     """
-    return F.get(F.filter(constant(rules), lambda r: F.rlike(text, r["pattern"])), F.lit(0))
+    literal = text if folded_text is None else folded_text
+    return F.get(
+        F.filter(constant(rules), lambda r: F.contains(literal, r["hint"]) & F.rlike(text, r["pattern"])), F.lit(0)
+    )
 
 
 def found(text: Column, pattern: Column, index: int) -> Column:

@@ -8,13 +8,15 @@ from pyspark.sql import functions as F
 from toolguard import rules
 from toolguard.functions import regex
 from toolguard.functions.capabilities import lookup
+from toolguard.functions.constants import constant, let
 
 LEVELS = ("CRITICAL", "HIGH", "MEDIUM")
 
 
 def searchable(name: Column, description: Column) -> Column:
     """Lowercased ``name description`` with ``_`` and ``-`` as spaces."""
-    return F.translate(F.lower(F.concat(name, F.lit(" "), description)), "_-", "  ")
+    text = F.lower(F.concat(name, F.lit(" "), description))
+    return F.replace(F.replace(text, F.lit("_"), F.lit(" ")), F.lit("-"), F.lit(" "))
 
 
 def level(text: Column) -> Column:
@@ -28,16 +30,19 @@ def level(text: Column) -> Column:
 def keyword(text: Column, risk_level: Column) -> Column:
     """The first listed word of the level that occurs (NULL for LOW).
 
-    Words are tried one by one only where a level matched, so the many LOW rows
-    cost three searches and no more.
+    One more search lists the level's words in the text; no word of a level
+    lies inside another one, so none hides another.
     """
-    words = [
-        {"word": w, "pattern": regex.whole_word([w.replace("_", " ")])}
-        for name in LEVELS
-        for w in rules.RISK_WORDS[name]
-    ]
-    # Higher levels come first and did not match, so the first hit is of this level.
-    return F.when(risk_level != "LOW", regex.first_rule(words, text)["word"])
+    case = F
+    for name in LEVELS:
+        case = case.when(risk_level == name, _first_word(text, name))
+    return case
+
+
+def _first_word(text: Column, name: str) -> Column:
+    words = constant([{"word": w, "spaced": w.replace("_", " ")} for w in rules.RISK_WORDS[name]])
+    present = F.regexp_extract_all(text, F.lit(_words(name)), F.lit(0))
+    return let(present, lambda p: F.get(F.filter(words, lambda w: F.array_contains(p, w["spaced"])), F.lit(0)))["word"]
 
 
 def explanation(risk_level: Column) -> Column:

@@ -46,7 +46,7 @@ def behavior_flags(snippet: Column, file: Column, file_flags: Column) -> Column:
 
 
 def normalized_path(path: Column) -> Column:
-    """A path without empty, ``.`` and ``..`` parts."""
+    """A path without empty, ``.`` and ``..`` parts; most paths have none and stay as they are."""
     parts = F.aggregate(
         F.split(F.regexp_replace(path, r"\\", "/"), "/"),
         F.array().cast("array<string>"),
@@ -54,18 +54,19 @@ def normalized_path(path: Column) -> Column:
         .when(part == "..", F.slice(kept, 1, F.greatest(F.size(kept) - 1, F.lit(0))))
         .otherwise(F.concat(kept, F.array(part))),
     )
-    return F.array_join(parts, "/")
+    return F.when(path.rlike(r"(?:^|/)\.{0,2}(?:/|\z)|\\"), F.array_join(parts, "/")).otherwise(path)
 
 
 def static_by_file(findings: DataFrame) -> DataFrame:
     """Static findings per file: how many, and how many weigh on the score."""
+    # Counted per written path first: each spelling is normalized once, not once per finding.
+    per_path = findings.groupBy("repo_id", "path").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(F.col("severity").isin("ERROR", "WARNING")).alias("serious")
+    )
     return (
-        findings.withColumn("file", normalized_path(F.col("path")))
+        per_path.withColumn("file", normalized_path(F.col("path")))
         .groupBy("repo_id", "file")
-        .agg(
-            F.count(F.lit(1)).alias("static_findings"),
-            F.count_if(F.col("severity").isin("ERROR", "WARNING")).alias("static_serious"),
-        )
+        .agg(F.sum("n").alias("static_findings"), F.sum("serious").alias("static_serious"))
     )
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from toolguard import rules
 from toolguard.functions import regex
-from toolguard.functions.constants import constant, constant_map
+from toolguard.functions.constants import constant, constant_map, let
 from toolguard.scale import unnest
 
 FINDING = "struct<type:string,detail:string,confidence:string,severity:string,matched_text:string>"
@@ -28,31 +28,32 @@ def _finding(kind: str, detail, confidence, severity, matched) -> Column:
 
 
 def instruction_phrase(description: Column) -> Column:
-    """The first *listed* phrase that occurs, as a finding (NULL if none does).
+    """The first *listed* phrase that occurs, as a finding (NULL if none does)."""
+    return let(F.lower(description), _first_phrase)
 
-    One alternation over all phrases guards the ordered search, which therefore
-    runs only on descriptions that have a match at all.
-    """
-    lowered = F.lower(description)
+
+def _first_phrase(lowered: Column) -> Column:
     framed = regex.any_of(lowered, rules.LEGITIMATE_FRAMING)
     phrases = [
         {
             "pattern": regex.java(pattern),
+            "hint": regex.hint(pattern),
             "plain": confidence,
             "framed": LOWERED_CONFIDENCE.get(confidence, confidence),
             "detail": explanation,
         }
         for pattern, confidence, explanation in rules.INSTRUCTION_PHRASES
     ]
-    suspicious = regex.any_of(lowered, [p for p, _, _ in rules.INSTRUCTION_PHRASES])
-    first = F.transform(
-        F.array(regex.first_rule(phrases, lowered)),
-        lambda r: _finding(
-            "Suspicious instruction phrase", r["detail"], F.when(framed, r["framed"]).otherwise(r["plain"]),
-            r["plain"], regex.found(lowered, r["pattern"], 0),
+    return let(
+        regex.first_rule(phrases, lowered),
+        lambda r: F.when(
+            r.isNotNull(),
+            _finding(
+                "Suspicious instruction phrase", r["detail"], F.when(framed, r["framed"]).otherwise(r["plain"]),
+                r["plain"], regex.found(lowered, r["pattern"], 0),
+            ),
         ),
     )
-    return F.when(suspicious, F.get(first, F.lit(0)))
 
 
 def hidden_characters(description: Column) -> Column:

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from toolguard import rules
 from toolguard.functions import regex
-from toolguard.scale import hottest, salted_join
+from toolguard.functions.constants import let
+from toolguard.scale import hottest, salted_join, unnest
 
 # Registrations that a finding's text lists; longer lists are in `duplicate_files`.
 LISTED = 100
@@ -19,23 +20,25 @@ def redirect(description: Column) -> Column:
     phrases = [
         {
             "pattern": regex.java(pattern, ignore_case=True),
+            "hint": regex.hint(pattern),
             "confidence": confidence,
             "before": start + explanation + middle,
         }
         for pattern, confidence, explanation in rules.REDIRECT_PHRASES
     ]
-    first = F.transform(
-        F.array(regex.first_rule(phrases, description)),
-        lambda r: F.struct(
+
+    def finding(r: Column) -> Column:
+        return F.struct(
             F.lit("Redirect language").alias("type"),
             F.concat(r["before"], regex.found(description, r["pattern"], 1), F.lit(end)).alias("detail"),
             r["confidence"].alias("confidence"),
             F.lit("HIGH").alias("severity"),
             regex.found(description, r["pattern"], 0).alias("matched_text"),
             regex.found(description, r["pattern"], 1).alias("referenced_tool"),
-        ),
-    )
-    return F.when(redirects(description), F.get(first, F.lit(0)))
+        )
+
+    first = let(regex.folded(description), lambda literal: regex.first_rule(phrases, description, literal))
+    return let(first, lambda r: F.when(r.isNotNull(), finding(r)))
 
 
 def redirects(description: Column) -> Column:
@@ -46,9 +49,8 @@ def redirects(description: Column) -> Column:
 def redirect_findings(tools: DataFrame) -> DataFrame:
     """One row per tool whose description redirects calls to it."""
     return (
-        tools.where(redirects(F.col("description")))
-        .select("repo_id", "file", "seq", F.col("name").alias("tool"), redirect(F.col("description")).alias("f"))
-        .select("repo_id", "file", "seq", "tool", "f.*")
+        unnest(tools, ["repo_id", "file", "seq", "name"], F.array(redirect(F.col("description"))), "f")
+        .select("repo_id", "file", "seq", F.col("name").alias("tool"), "f.*")
     )
 
 

@@ -18,7 +18,7 @@ from toolguard.operators import (
 )
 from toolguard.plans import scan
 from toolguard.queries import views
-from toolguard.scale import checkpoint_folder, unnest
+from toolguard.scale import checkpoint_folder, materialize, unnest
 from toolguard.sources import files, requirements
 from toolguard.streaming import calls as call_streams
 from toolguard.streaming import scans as scan_streams
@@ -237,7 +237,7 @@ def repo_blast_summary(spark, folder):
 
 @query
 def blast_ranking(spark, folder):
-    return blast.ranked(blast.by_name(_last(spark, folder)))
+    return blast.ranked(materialize(blast.by_name(_last(spark, folder))))
 
 
 # --------------------------------------------------------- packages and secrets
@@ -276,12 +276,12 @@ def dependency_summary(spark, folder):
 
 @query
 def secrets_in_documents(spark, folder):
-    return secrets.scan(views.table(spark, folder, "documents"), "text", ["doc_id"])
+    return secrets.scan(views.texts(spark, folder, "documents", "doc_id", "text"), "text", ["doc_id"])
 
 
 @query
 def secrets_in_pages(spark, folder):
-    return secrets.scan(views.table(spark, folder, "pages"), "html", ["page_id"])
+    return secrets.scan(views.texts(spark, folder, "pages", "page_id", "html"), "html", ["page_id"])
 
 
 @query

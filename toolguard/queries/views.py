@@ -21,6 +21,19 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.schema(_SCHEMAS[key]).parquet(f"{folder}/{name}.parquet")
 
 
+def texts(spark: SparkSession, folder: str, name: str, *columns: str) -> DataFrame:
+    """Columns of a table of texts, spread over the cores if its files make fewer tasks than those.
+
+    A large table comes in many splits and is read as it is, without a shuffle.
+    """
+    key = (spark.sparkContext.applicationId, folder, name, "splits")
+    chosen = table(spark, folder, name).select(*columns)
+    if key not in _SCHEMAS:
+        _SCHEMAS[key] = chosen.rdd.getNumPartitions()
+    cores = spark.sparkContext.defaultParallelism
+    return chosen.repartition(cores) if _SCHEMAS[key] < cores else chosen
+
+
 def stream(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """A table as a stream of its files.  The pattern names it whether it is a file or a folder."""
     return spark.readStream.schema(table(spark, folder, name).schema).parquet(f"{folder}/{name}.parque[t]")
@@ -63,10 +76,10 @@ def tools(spark: SparkSession, folder: str) -> DataFrame:
 
     Half of the conversations share three repositories, by role; each other one is its own.
     """
-    documents = table(spark, folder, "documents").select(
+    documents = texts(spark, folder, "documents", "source", "doc_id", "text").select(
         F.col("source").alias("repo_id"), F.col("doc_id").alias("k"), "text"
     )
-    turns = table(spark, folder, "conversations").select(
+    turns = texts(spark, folder, "conversations", "conv_id", "turn", "role", "text").select(
         F.when(F.col("conv_id") % 2 == 0, F.concat(F.lit("chat_"), F.col("role")))
         .otherwise(F.concat(F.lit("chat"), F.col("conv_id").cast("string")))
         .alias("repo_id"),
@@ -123,7 +136,7 @@ def source_files(spark: SparkSession, folder: str) -> DataFrame:
         _texts(k, seeds.FOLDERS), F.lit("m"), k.cast("string"), F.when(form == "script", ".ts").otherwise(".py")
     )
     return (
-        table(spark, folder, "documents")
+        texts(spark, folder, "documents", "source", "doc_id", "lang", "text")
         .withColumn("kind", kind(k))
         .select(F.col("source").alias("repo_id"), name.alias("path"), content.alias("content"))
     )
