@@ -22,8 +22,10 @@ def language(path: Column) -> Column:
 
 
 def _flags(code: Column, table: dict[str, list[str]]) -> Column:
-    return F.array_compact(
-        F.array(*[F.when(regex.any_of(code, table[c]), F.lit(c)) for c in rules.CATEGORIES])
+    searches = constant_map({c: regex.searches(table[c]) for c in rules.CATEGORIES})
+    return F.filter(
+        constant(rules.CATEGORIES),
+        lambda c: F.exists(F.try_element_at(searches, c), lambda r: regex.occurs(r, code, code)),
     )
 
 
@@ -43,14 +45,7 @@ def flags_by_language(code: Column, js: Column) -> Column:
 
 def either_flags(code: Column) -> Column:
     """Categories found by either rule set, whatever the language."""
-    return F.array_compact(
-        F.array(
-            *[
-                F.when(regex.any_of(code, rules.PYTHON_BEHAVIOR[c] + rules.JS_BEHAVIOR[c]), F.lit(c))
-                for c in rules.CATEGORIES
-            ]
-        )
-    )
+    return _flags(code, {c: rules.PYTHON_BEHAVIOR[c] + rules.JS_BEHAVIOR[c] for c in rules.CATEGORIES})
 
 
 def no_flags() -> Column:

@@ -103,14 +103,24 @@ def any_of(text: Column, patterns: list[str], ignore_case: bool = False) -> Colu
     than running it, and most texts hold none of them: so a pattern runs only
     on texts that hold its literal, and the first that is found ends the search.
     """
-    table = constant([{"hint": hint(p), "pattern": java(p, ignore_case)} for p in patterns])
+    table = constant(searches(patterns, ignore_case))
 
     def search(literal: Column) -> Column:
-        return F.exists(table, lambda r: F.contains(literal, r["hint"]) & F.rlike(text, r["pattern"]))
+        return F.exists(table, lambda r: occurs(r, text, literal))
 
     return let(folded(text), search) if ignore_case else search(text)
 
 
+def searches(patterns: list[str], ignore_case: bool = False) -> list[dict]:
+    """The patterns for Spark, each with the literal to look for first."""
+    return [{"hint": hint(p), "pattern": java(p, ignore_case)} for p in patterns]
+
+
+def occurs(search: Column, text: Column, literal_text: Column) -> Column:
+    """True where a search's literal, then its pattern, is found."""
+    return F.contains(literal_text, search["hint"]) & F.rlike(text, search["pattern"])
+
+
 def contains_any(text: Column, words: list[str]) -> Column:
     """True where any word is a substring; stops at the first that is."""
     return F.exists(constant(words), lambda w: F.contains(text, w))
@@ -129,9 +139,7 @@ def first_rule(rules: list[dict], text: Column, folded_text: Column | None = Non
     A pattern is tried where its rule's ``hint`` occurs, so rarely any is.
     """
     literal = text if folded_text is None else folded_text
-    return F.get(
-        F.filter(constant(rules), lambda r: F.contains(literal, r["hint"]) & F.rlike(text, r["pattern"])), F.lit(0)
-    )
+    return F.get(F.filter(constant(rules), lambda r: occurs(r, text, literal)), F.lit(0))
 
 
 def found(text: Column, pattern: Column, index: int) -> Column:
