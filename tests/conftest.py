@@ -22,8 +22,5 @@ def spark(tmp_path_factory):
     session.sparkContext.setLogLevel("ERROR")
     if not session.conf.get("spark.checkpoint.dir", None):
         session.sparkContext.setCheckpointDir(str(tmp_path_factory.mktemp("checkpoints")))
-    from toolguard.session import ship
-
-    ship(session)
     yield session
     session.stop()

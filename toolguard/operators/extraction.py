@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+import toolguard
 from toolguard import rules
 from toolguard.functions import capabilities as caps
 from toolguard.functions import regex
 from toolguard.functions.parsing import parse_batches
 from toolguard.scale import salted_join
 
+# The parsing helpers travel with the job, so executors need nothing installed.
+cloudpickle.register_pickle_by_value(toolguard)
+
 PARSED = (
     "language string, sha string, file_flags array<string>, seq bigint, name string, "
     "description string, code_snippet string"

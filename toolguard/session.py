@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-import pathlib
-import tempfile
-import zipfile
-
 from pyspark.sql import SparkSession
 
 SETTINGS = {
@@ -24,17 +20,3 @@ def build(name: str = "toolguard", **settings: str) -> SparkSession:
     for key, value in {**SETTINGS, **settings}.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
-
-
-def ship(spark: SparkSession) -> None:
-    """Send this package to the executors' Python workers, unless it came with ``--py-files``."""
-    context = spark.sparkContext
-    if getattr(context, "_toolguard_shipped", False):
-        return
-    home = pathlib.Path(__file__).resolve().parent
-    folder = pathlib.Path(tempfile.mkdtemp(prefix="toolguard-package-"))
-    with zipfile.ZipFile(folder / "toolguard.zip", "w") as archive:
-        for source in sorted(home.rglob("*.py")):
-            archive.write(source, source.relative_to(home.parent))
-    context.addPyFile(str(folder / "toolguard.zip"))
-    context._toolguard_shipped = True
