@@ -276,12 +276,12 @@ def dependency_summary(spark, folder):
 
 @query
 def secrets_in_documents(spark, folder):
-    return secrets.scan(views.texts(spark, folder, "documents", "doc_id", "text"), "text", ["doc_id"])
+    return secrets.scan(views.spread(spark, folder, "documents", "doc_id", "text"), "text", ["doc_id"])
 
 
 @query
 def secrets_in_pages(spark, folder):
-    return secrets.scan(views.texts(spark, folder, "pages", "page_id", "html"), "html", ["page_id"])
+    return secrets.scan(views.spread(spark, folder, "pages", "page_id", "html"), "html", ["page_id"])
 
 
 @query

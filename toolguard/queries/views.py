@@ -10,6 +10,7 @@ from toolguard.functions import capabilities as caps
 from toolguard.functions.constants import constant
 from toolguard.queries import seeds
 
+EVENT = ("event_id", "ts", "user_id", "event_type", "value", "props")
 _SCHEMAS: dict = {}
 
 
@@ -21,8 +22,8 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.schema(_SCHEMAS[key]).parquet(f"{folder}/{name}.parquet")
 
 
-def texts(spark: SparkSession, folder: str, name: str, *columns: str) -> DataFrame:
-    """Columns of a table of texts, spread over the cores if its files make fewer tasks than those.
+def spread(spark: SparkSession, folder: str, name: str, *columns: str) -> DataFrame:
+    """Columns of a table for row-level work, spread over the cores if its files make fewer tasks than those.
 
     A large table comes in many splits and is read as it is, without a shuffle.
     """
@@ -76,10 +77,10 @@ def tools(spark: SparkSession, folder: str) -> DataFrame:
 
     Half of the conversations share three repositories, by role; each other one is its own.
     """
-    documents = texts(spark, folder, "documents", "source", "doc_id", "text").select(
+    documents = spread(spark, folder, "documents", "source", "doc_id", "text").select(
         F.col("source").alias("repo_id"), F.col("doc_id").alias("k"), "text"
     )
-    turns = texts(spark, folder, "conversations", "conv_id", "turn", "role", "text").select(
+    turns = spread(spark, folder, "conversations", "conv_id", "turn", "role", "text").select(
         F.when(F.col("conv_id") % 2 == 0, F.concat(F.lit("chat_"), F.col("role")))
         .otherwise(F.concat(F.lit("chat"), F.col("conv_id").cast("string")))
         .alias("repo_id"),
@@ -136,7 +137,7 @@ def source_files(spark: SparkSession, folder: str) -> DataFrame:
         _texts(k, seeds.FOLDERS), F.lit("m"), k.cast("string"), F.when(form == "script", ".ts").otherwise(".py")
     )
     return (
-        texts(spark, folder, "documents", "source", "doc_id", "lang", "text")
+        spread(spark, folder, "documents", "source", "doc_id", "lang", "text")
         .withColumn("kind", kind(k))
         .select(F.col("source").alias("repo_id"), name.alias("path"), content.alias("content"))
     )
@@ -145,7 +146,7 @@ def source_files(spark: SparkSession, folder: str) -> DataFrame:
 def requirement_files(spark: SparkSession, folder: str) -> DataFrame:
     """A requirements file per part."""
     k = F.col("p_partkey")
-    return table(spark, folder, "part").select(
+    return spread(spark, folder, "part", "p_partkey", "p_size").select(
         F.concat(F.lit("part"), k.cast("string")).alias("repo_id"),
         F.lit("requirements.txt").alias("path"),
         fill(F.lit(seeds.REQUIREMENTS), package=_texts(k, seeds.PACKAGES), size=F.col("p_size")).alias("content"),
@@ -221,7 +222,7 @@ def _call_rows(events: DataFrame) -> DataFrame:
 
 def calls(spark: SparkSession, folder: str) -> DataFrame:
     """A tool call per event."""
-    return _call_rows(table(spark, folder, "events"))
+    return _call_rows(spread(spark, folder, "events", *EVENT))
 
 
 def call_stream(spark: SparkSession, folder: str) -> DataFrame:
