@@ -328,7 +328,8 @@ def static_findings_by_file(spark, folder):
 
 def _report(spark, folder, reviewed: bool = False) -> DataFrame:
     verdicts = views.verdicts(spark, folder) if reviewed else None
-    return report.tool_report(tools_with_flags(spark, folder), views.static_findings(spark, folder), verdicts)
+    # Read by several branches of the report: computed once.
+    return report.tool_report(materialize(tools_with_flags(spark, folder)), views.static_findings(spark, folder), verdicts)
 
 
 @query

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -34,9 +35,14 @@ def checkpoint_folder(spark: SparkSession) -> str:
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Compute once, to the shared folder, what several branches read."""
-    checkpoint_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Compute once what several branches read: a table written to the shared folder.
+
+    It cuts the lineage like a checkpoint, survives lost executors, and each
+    branch reads just the columns that it needs, which a checkpoint cannot do.
+    """
+    path = f"{checkpoint_folder(df.sparkSession)}/tables/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def hot_keys(df: DataFrame, on: list[str], floor: int | None = None) -> DataFrame:
