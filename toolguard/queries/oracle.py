@@ -110,7 +110,7 @@ def view(name: str, sql: str) -> None:
 
 
 view("rows_v", """SELECT source AS repo_id, doc_id AS k, text FROM documents
-UNION ALL SELECT CASE WHEN conv_id % 2 = 0 THEN 'chat_' || role ELSE 'chat' || conv_id END, conv_id * 100 + turn, text FROM conversations""")
+UNION ALL SELECT CASE WHEN conv_id % 2 = 0 THEN 'chat_' || role ELSE 'chat-' || conv_id || '-' || turn END, conv_id * 100 + turn, text FROM conversations""")
 view("tools_v", f"""SELECT repo_id, {FILE} AS file, CASE WHEN {is_js(FILE)} THEN 'JS/TS' ELSE 'Python' END AS language,
 k AS seq, {texts('k', seeds.NAMES, k='k')} AS name,
 {texts('k', seeds.PHRASES)} || ' ' || text AS description, {texts('k', seeds.SNIPPETS)} AS code_snippet FROM rows_v""")

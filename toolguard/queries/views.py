@@ -75,14 +75,14 @@ def _tool_rows(rows: DataFrame) -> DataFrame:
 def tools(spark: SparkSession, folder: str) -> DataFrame:
     """A tool per document (long descriptions) and per conversation turn (short ones).
 
-    Half of the conversations share three repositories, by role; each other one is its own.
+    The turns of half of the conversations share three repositories, by role; each other turn has its own.
     """
     documents = spread(spark, folder, "documents", "source", "doc_id", "text").select(
         F.col("source").alias("repo_id"), F.col("doc_id").alias("k"), "text"
     )
     turns = spread(spark, folder, "conversations", "conv_id", "turn", "role", "text").select(
         F.when(F.col("conv_id") % 2 == 0, F.concat(F.lit("chat_"), F.col("role")))
-        .otherwise(F.concat(F.lit("chat"), F.col("conv_id").cast("string")))
+        .otherwise(F.concat_ws("-", F.lit("chat"), F.col("conv_id").cast("string"), F.col("turn").cast("string")))
         .alias("repo_id"),
         (F.col("conv_id") * 100 + F.col("turn")).alias("k"),
         "text",
