@@ -4,8 +4,6 @@ import hashlib
 import json
 
 import pytest
-from pyspark.sql import functions as F
-
 from toolguard.operators import policy
 from toolguard.sources import tables
 
