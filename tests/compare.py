@@ -28,7 +28,7 @@ def connect(folder: str) -> duckdb.DuckDBPyConnection:
 
 
 def plain(value):
-    if value is None or value is pd.NaT or (isinstance(value, float) and value != value):
+    if value is None or value is pd.NaT or value is pd.NA or (isinstance(value, float) and value != value):
         return "NULL"
     if isinstance(value, (pd.Timestamp, datetime.datetime)):
         return pd.Timestamp(value).isoformat()
