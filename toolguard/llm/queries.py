@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from toolguard.llm import mixing, quality, simhash, tokens, toxicity
+from toolguard.llm import decontamination, mixing, quality, simhash, tokens, toxicity, warc
 from toolguard.llm.common import table
 
 
@@ -32,8 +32,61 @@ def op8_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.classify(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
+def op9_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return decontamination.contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+def op10_warc(spark: SparkSession, folder: str) -> DataFrame:
+    return warc.round_trip(table(spark, folder, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_simhash_near_dedup, op2_quality_classifier, op3_token_counts, op6_mixing, op8_toxicity)
+    for f in (op1_simhash_near_dedup, op2_quality_classifier, op3_token_counts, op6_mixing, op8_toxicity, op9_benchmark_decontamination, op10_warc)
+}
+ORACLES: dict[str, str] = {
+    "op9_benchmark_decontamination": r"""
+WITH items AS (
+    SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                       '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark
+), windows AS (
+    SELECT DISTINCT item_id, least(13, len(w)) AS length, array_to_string(w[s : s + least(13, len(w)) - 1], ' ') AS gram
+    FROM (SELECT item_id, w, unnest(range(1, len(w) - least(13, len(w)) + 2)) AS s FROM items WHERE len(w) > 0)
+), docs AS (
+    SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                      '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+), grams AS (
+    SELECT doc_id, s, length, array_to_string(w[s : s + length - 1], ' ') AS gram
+    FROM (SELECT doc_id, w, length, unnest(range(1, len(w) - length + 2)) AS s
+          FROM docs CROSS JOIN (SELECT DISTINCT length FROM windows))
+), found AS (
+    SELECT doc_id, s, g.length, item_id FROM grams g JOIN windows v ON g.gram = v.gram AND g.length = v.length
+), words AS (
+    SELECT doc_id, count(DISTINCT p) AS n_hit
+    FROM (SELECT doc_id, unnest(range(s, s + length)) AS p FROM (SELECT DISTINCT doc_id, s, length FROM found)) GROUP BY 1
+), listed AS (
+    SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+    FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM found) GROUP BY 1
+)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(items, '')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM docs LEFT JOIN words USING (doc_id) LEFT JOIN listed USING (doc_id)
+""",
+    "op10_warc": """
+WITH p AS (
+    SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS h FROM pages
+), d AS (
+    SELECT page_id, payload_bytes, h,
+           list_aggregate(list_transform(range(0, 8), lambda i: list_aggregate(list_transform(range(0, 4), lambda j:
+               substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+                      CAST((CAST('0x' || substr(h, 5 * i + 1, 5) AS BIGINT) >> (15 - 5 * j)) & 31 AS BIGINT) + 1, 1)), 'string_agg', '')), 'string_agg', '')
+               AS payload_digest,
+           max(page_id) OVER (PARTITION BY h) AS last
+    FROM p
+)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = last THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> last THEN last END AS refers_to
+FROM d
+""",
 }
-ORACLES: dict[str, str] = {}
