@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from toolguard.llm import chat, decontamination, embeddings, mixing, quality, simhash, tokens, toxicity, warc
+from toolguard.llm import chat, decontamination, embeddings, language_model, mixing, quality, simhash, tokens, toxicity, warc
 from toolguard.llm.common import table
 
 
@@ -39,6 +39,10 @@ def op6_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix(table(spark, folder, "documents"))
 
 
+def op7_language_model_scoring(spark: SparkSession, folder: str) -> DataFrame:
+    return language_model.score(table(spark, folder, "documents"))
+
+
 def op8_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.classify(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
@@ -53,7 +57,7 @@ def op10_warc(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_simhash_near_dedup, op2_quality_classifier, op3_token_counts, op4_chat_formatting, op5_embedding_near_dedup, op6_mixing, op8_toxicity, op9_benchmark_decontamination, op10_warc)
+    for f in (op1_simhash_near_dedup, op2_quality_classifier, op3_token_counts, op4_chat_formatting, op5_embedding_near_dedup, op6_mixing, op7_language_model_scoring, op8_toxicity, op9_benchmark_decontamination, op10_warc)
 }
 ORACLES: dict[str, str] = {
     "op4_chat_formatting": r"""
