@@ -144,7 +144,14 @@ const list = [{{ description: "First", name: "literal" }}, {{ name: "string", de
         "large": "Detailed text", "registered": "Options object", "named": "inside", "literal": "First",
     }
     assert found["large"][1].endswith("})") and len(found["large"][1]) > 6000
-    assert js_tools.balanced("(" * 10, 0, limit=4) == "(((("
+
+
+def test_long_js_registration_is_whole():
+    code = 'server.tool("long", "Does much", async () => {\n' + "const x = 1;\n" * 20_000 + 'child_process.exec("ls");\n});\n'
+    ((name, _, snippet),) = js_tools.tools_in(code)
+    assert name == "long" and len(snippet) > 250_000 and "child_process" in snippet
+    # Calls that never close end with the file.
+    assert [len(s) for _, _, s in js_tools.tools_in('a.tool("x", "y", (\n' * 3)][:1] == [3 * 19 - 1]
 
 
 def test_copies_are_parsed_once_and_all_reported(spark):
@@ -188,8 +195,10 @@ def test_budget_keeps_the_first_files(spark):
     kept = files.within_budget(files.tool_sources(given), limit=5).collect()
     assert sorted(r.path for r in kept if r.repo_id == "r" and r.language == "Python") == [f"f{i:03d}.py" for i in range(5)]
     assert len(kept) == 7
-    counts = {r.repo_id: r for r in files.language_counts(files.tool_sources(given)).collect()}
-    assert (counts["r"].python_files, counts["r"].js_files, counts["r"].warning) == (50, 1, None)
+    counts = files.language_counts(files.tool_sources(given))
+    warned = {r.repo_id: r for r in files.budget_warnings(counts, limit=5, analysis=100).collect()}
+    assert (warned["r"].python_files, warned["r"].js_files, warned["r"].capped) == (50, 1, True)
+    assert warned["s"].warning is None
 
 
 def test_requirement_lines(spark):
@@ -242,16 +251,25 @@ def test_hot_names_give_whole_results(spark, monkeypatch):
 
 
 # ------------------------------------------------------------------------ gates
-def test_verdicts_only_reach_the_first_mismatches(spark):
+def test_verdicts_reach_every_mismatch(spark):
     given = spark.createDataFrame(
-        [("r", "a.py", "Python", i, ["file_access", "network_access"]) for i in range(15)],
+        [("r", "a.py", "Python", i, ["file_access", "network_access"]) for i in range(60)],
         "repo_id string, file string, language string, seq bigint, mismatches array<string>",
     )
     verdicts = spark.createDataFrame(
-        [("r", "a.py", i, "network_access", True, "") for i in range(15)], schemas.VERDICTS
+        [("r", "a.py", i, c, c == "network_access", f"note {i}") for i in range(60) for c in ("network_access", "file_access", "other")], schemas.VERDICTS
     )
-    kept = {r.seq: r.mismatches for r in attach.confirmed_mismatches(given, verdicts).collect()}
-    assert kept == {i: ["file_access"] if i < 10 else ["file_access", "network_access"] for i in range(15)}
+    assert {tuple(r.mismatches) for r in attach.confirmed_mismatches(given, verdicts).collect()} == {("file_access",)}
+    notes = attach.review_notes(given, verdicts).collect()
+    assert len(notes) == 120 and {(r.seq, r.reasoning) for r in notes} == {(i, f"note {i}") for i in range(60)}
+
+
+def test_duplicates_of_any_number_have_one_form(spark):
+    rows = [("r", f"f{i}.py", "Python", i, "one" if i else "two", "d", None) for i in range(150)] + [("r", "g.py", "Python", 0, "two", "d", None)]
+    given = spark.createDataFrame(rows, schemas.TOOLS)
+    found = {r.tool: r.matched_text for r in shadowing.duplicate_findings(given).collect()}
+    assert found == {"one": "149 registrations across 149 files", "two": "2 registrations across 2 files"}
+    assert shadowing.duplicate_files(given).count() == 151
 
 
 def found_row(spark, **counts):
@@ -291,7 +309,7 @@ def test_scan_of_a_small_corpus(spark, tmp_path):
     )
     advisories = spark.createDataFrame([("PyPI", "flask", ["2.0.0"], None, None, "X", "bad", None, "HIGH")], schemas.ADVISORIES)
     static = spark.createDataFrame([("a", "./server.py", 1, "m", "WARNING")], schemas.STATIC_FINDINGS)
-    result = scan.scan_corpus(given, advisories, static, budgets=True)
+    result = scan.scan_corpus(given, advisories, static)
     report = {r.name: r for r in result.report.collect()}
     assert set(report) == {"search_web", "read_file", "send_email", "do_something", "shell_exec", "ping"}
     assert report["do_something"].mismatches == ["subprocess_execution"] and report["do_something"].score == "RED"

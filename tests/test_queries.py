@@ -5,18 +5,19 @@ import pytest
 from compare import connect, difference
 
 import __spark_entry__ as entry
+from toolguard.queries import oracle, registry
 
 FOLDER = "/root/testdata/sf0.001"
-STATEMENTS = entry.oracle_sql()
+STATEMENTS = oracle.statements()
 
 
 def test_every_query_has_a_statement():
-    assert set(STATEMENTS) == set(entry.queries())
+    assert set(STATEMENTS) == set(registry.QUERIES) <= set(entry.queries())
 
 
-@pytest.mark.parametrize("name", list(entry.queries()))
+@pytest.mark.parametrize("name", list(registry.QUERIES))
 def test_same_result_as_sql(spark, name):
-    found = entry.queries()[name](spark, FOLDER).toPandas()
+    found = registry.QUERIES[name](spark, FOLDER).toPandas()
     expected = connect(FOLDER).execute(STATEMENTS[name]).fetchdf()
     assert difference(found, expected) is None
 
@@ -27,7 +28,7 @@ def test_entry_runs(spark):
 
 def test_seeds_reach_every_branch(spark):
     def values(name, column):
-        return {r[0] for r in entry.queries()[name](spark, FOLDER).select(column).distinct().collect()}
+        return {r[0] for r in registry.QUERIES[name](spark, FOLDER).select(column).distinct().collect()}
 
     assert values("policy_decisions", "action") == {"ALLOW", "BLOCK", "REQUIRE_APPROVAL", "LOG"}
     assert len(values("policy_decisions", "rule")) == 6

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 import re
 
 from toolguard import rules
@@ -15,22 +16,27 @@ _OBJECT = re.compile(rules.JS_OBJECT, re.DOTALL)
 _BRACKET = re.compile(r"[(){}]")
 
 
-def balanced(content: str, start: int, limit: int = rules.JS_SNIPPET_LIMIT) -> str:
-    """Text from ``start`` to where its brackets close, or up to the limit.
+class Brackets:
+    """Where the brackets of a file close; both kinds share one depth, and strings are not special."""
 
-    Both kinds of brackets share one depth, and strings are not special.
-    """
-    end = min(len(content), start + limit)
-    depth = 0
-    opened = False
-    for bracket in _BRACKET.finditer(content, start, end):
-        if bracket[0] in "({":
-            depth, opened = depth + 1, True
-        else:
-            depth -= 1
-            if opened and depth <= 0:
-                return content[start : bracket.end()]
-    return content[start:end]
+    def __init__(self, content: str):
+        self.content = content
+        self.starts: list[int] = []
+        self.closes: dict[int, int] = {}
+        open_ones: list[int] = []
+        for bracket in _BRACKET.finditer(content):
+            at = bracket.start()
+            if bracket[0] in "({":
+                self.starts.append(at)
+                open_ones.append(at)
+            elif open_ones:
+                self.closes[open_ones.pop()] = at + 1
+
+    def balanced(self, start: int) -> str:
+        """Text from ``start`` to where its first bracket closes, or to the end of the file."""
+        at = bisect.bisect_left(self.starts, start)
+        end = self.closes.get(self.starts[at]) if at < len(self.starts) else None
+        return self.content[start:end]
 
 
 def tools_in(content: str) -> list[tuple[str, str, str | None]]:
@@ -38,15 +44,16 @@ def tools_in(content: str) -> list[tuple[str, str, str | None]]:
     if not any(mark in content for mark in rules.JS_MARKS):
         return []
     found = {}
-    for name, description, snippet in (*_calls(content), *_objects(content)):
+    brackets = Brackets(content)
+    for name, description, snippet in (*_calls(brackets), *_objects(brackets)):
         found.setdefault(name, (name, description.strip(), snippet))
     return list(found.values())
 
 
-def _calls(content: str):
+def _calls(brackets: Brackets):
     """Registration calls, with a name in first place or in an options object."""
-    for call in _CALL.finditer(content):
-        snippet = balanced(content, call.start())
+    for call in _CALL.finditer(brackets.content):
+        snippet = brackets.balanced(call.start())
         placed = _CALL_NAME.match(snippet)
         name = placed or _NAME.search(snippet)
         if not name:
@@ -55,9 +62,9 @@ def _calls(content: str):
         yield name[1], described[1] if described else rules.NO_DESCRIPTION, snippet
 
 
-def _objects(content: str):
+def _objects(brackets: Brackets):
     """Object literals that hold both a name and a description."""
-    for block in _OBJECT.finditer(content):
+    for block in _OBJECT.finditer(brackets.content):
         name, description = _NAME.search(block[0]), _DESCRIPTION.search(block[0])
         if name and description and name[1] not in rules.JS_TYPE_WORDS:
-            yield name[1], description[1], balanced(content, block.start())
+            yield name[1], description[1], brackets.balanced(block.start())

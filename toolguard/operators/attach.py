@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from toolguard import rules
 from toolguard.functions import capabilities as caps
 from toolguard.scale import hot_keys, hottest, salted_join, unnest
 from toolguard.sources.files import without_file_behavior
@@ -104,24 +103,17 @@ def attach_shadowing(tools: DataFrame, by_name: DataFrame) -> DataFrame:
     )
 
 
-def confirmed_mismatches(tools: DataFrame, verdicts: DataFrame, limit: int = rules.VERDICTS_PER_SCAN) -> DataFrame:
-    """Remove mismatches that a reviewer found covered by the description.
+def confirmed_mismatches(tools: DataFrame, verdicts: DataFrame) -> DataFrame:
+    """Remove every mismatch that a reviewer found covered by the description.
 
-    As published, only the first ``limit`` mismatches of a repo, in tool and
-    category order, can be removed that way; all others stay.  The ranking
-    keeps at most ``limit`` rows of a repo per task before it shuffles, and what
-    it yields is joined by tool, so each tool meets at most four verdicts.
+    A tool has one row of verdicts at most, with a category each.
     """
-    each = unnest(tools, [*TOOL_KEY, "language"], F.col("mismatches"), "category", "at")
-    order = Window.partitionBy("repo_id").orderBy(
-        F.when(F.col("language") == "Python", 0).otherwise(1), "file", "seq", "at"
-    )
-    eligible = each.withColumn("__n", F.row_number().over(order)).where(F.col("__n") <= limit)
-    covered = (
-        eligible.select(*TOOL_KEY, "category")
-        .join(verdicts.where("covered").select(*TOOL_KEY, "category").distinct(), [*TOOL_KEY, "category"], "left_semi")
-        .groupBy(*TOOL_KEY)
-        .agg(F.collect_set("category").alias("__covered"))
-    )
+    covered = verdicts.where("covered").groupBy(*TOOL_KEY).agg(F.collect_set("category").alias("__covered"))
     kept = F.array_except("mismatches", F.coalesce("__covered", caps.no_flags()))
     return tools.join(covered, TOOL_KEY, "left").withColumn("mismatches", kept).drop("__covered")
+
+
+def review_notes(tools: DataFrame, verdicts: DataFrame) -> DataFrame:
+    """Every mismatch that was reviewed, with the reviewer's decision and reasoning."""
+    each = unnest(tools, TOOL_KEY, F.col("mismatches"), "category")
+    return each.join(verdicts.select(*TOOL_KEY, "category", "covered", "reasoning"), [*TOOL_KEY, "category"])

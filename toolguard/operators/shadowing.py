@@ -10,10 +10,6 @@ from toolguard.functions import regex
 from toolguard.functions.constants import let
 from toolguard.scale import hottest, salted_join, unnest
 
-# Registrations that a finding's text lists; longer lists are in `duplicate_files`.
-LISTED = 100
-
-
 def redirect(description: Column) -> Column:
     """The first *listed* redirect phrase, as a finding (NULL if there is none)."""
     start, middle, end = _split(rules.REDIRECT_TEXT, ["{explanation}", "{referenced}"])
@@ -81,42 +77,19 @@ def duplicate_files(tools: DataFrame) -> DataFrame:
     )
 
 
-def duplicate_findings(tools: DataFrame, listed: int = LISTED) -> DataFrame:
-    """One finding per duplicated name.
-
-    The text lists the files of all registrations in order.  A name with more
-    than ``listed`` of them gets the first file and a count instead, and
-    ``duplicate_files`` holds every file of every name.
-    """
-    names = duplicate_names(tools)
-    keys = ["repo_id", "name"]
-    short = names.where(F.col("registrations") <= listed).select(*keys)
-    order = F.struct(F.when(F.col("language") == "Python", 0).otherwise(1), F.col("file"), F.col("seq"))
-    # Large names are gone before anything is collected: a list has <= `listed` entries.
-    lists = (
-        salted_join(
-            tools.select(*keys, "language", "file", "seq"), short, keys, "left_semi",
-            spread=["file", "seq"], hot=hottest(names, "registrations"),
-        )
-        .groupBy(*keys)
-        .agg(F.array_sort(F.collect_list(F.struct(order.alias("o"), "file"))).alias("l"))
-        .select(*keys, F.array_join(F.col("l.file"), ", ").alias("list"))
-    )
+def duplicate_findings(tools: DataFrame) -> DataFrame:
+    """One finding per duplicated name; ``duplicate_files`` holds every file of every name."""
     start, middle, end, tail = _split(rules.DUPLICATE_TEXT, ["{name}", "{n}", "{files}"])
-    n = F.col("registrations").cast("string")
-    shown = F.coalesce("list", F.concat(F.col("files").cast("string"), F.lit(" files")))
-    detail = F.concat(F.lit(start), F.col("name"), F.lit(middle), n, F.lit(end), shown, F.lit(tail))
-    matched = F.concat(
-        n, F.lit(" registrations across "), F.col("files").cast("string"), F.lit(" files")
-    )
-    return names.join(lists, keys, "left").select(
+    n, files = F.col("registrations").cast("string"), F.concat(F.col("files").cast("string"), F.lit(" files"))
+    detail = F.concat(F.lit(start), F.col("name"), F.lit(middle), n, F.lit(end), files, F.lit(tail))
+    return duplicate_names(tools).select(
         "repo_id",
         F.col("name").alias("tool"),
         F.lit("Duplicate tool name").alias("type"),
         detail.alias("detail"),
         F.lit("MEDIUM").alias("confidence"),
         F.lit("HIGH").alias("severity"),
-        matched.alias("matched_text"),
+        F.concat(n, F.lit(" registrations across "), files).alias("matched_text"),
         "registrations",
         "files",
     )

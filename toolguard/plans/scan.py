@@ -6,7 +6,6 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 
-from toolguard import rules
 from toolguard.operators import extraction, gate, packages, report, secrets
 from toolguard.scale import materialize
 from toolguard.sources import files as sources
@@ -44,24 +43,17 @@ def scan_corpus(
     advisories: DataFrame,
     static_findings: DataFrame,
     verdicts: DataFrame | None = None,
-    budgets: bool = False,
-    first_packages: int | None = None,
 ) -> Scan:
     """Scan ``files(repo_id, path, content)`` of any number of repositories.
 
     Extraction is the one step that runs Python, and several steps read its
     result, so tools are computed once into the shared folder; so is the report.
-    ``budgets`` and ``first_packages`` apply the published single-machine limits.
     """
     chosen = sources.tool_sources(files)
     languages = sources.language_counts(chosen)
-    if budgets:
-        chosen = sources.within_budget(chosen, rules.FILES_PER_LANGUAGE)
-        skipped = languages.where("too_large").select("repo_id")
-        static_findings = static_findings.join(skipped, "repo_id", "left_anti")
     tools = materialize(extraction.extract_tools(chosen))
-    pinned = requirements.parse_requirements(requirements.requirement_files(files), first_packages)
-    all_pinned = requirements.parse_requirements(requirements.requirement_files(files))
+    # Four steps read the requirements: they are parsed once.
+    pinned = materialize(requirements.parse_requirements(requirements.requirement_files(files)))
     return Scan(
         repos=files.select("repo_id").distinct(),
         tools=tools,
@@ -69,8 +61,6 @@ def scan_corpus(
         secrets=secrets.scan_files(files),
         requirements=pinned,
         vulnerable=packages.vulnerabilities(pinned, advisories),
-        typosquats=packages.typosquats(all_pinned),
+        typosquats=packages.typosquats(pinned),
         languages=languages,
     )
-
-

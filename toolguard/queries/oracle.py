@@ -185,7 +185,7 @@ WHERE registrations > 1 OR redirects > 0""")
 d_start, d_mid, d_end, d_tail = rules.DUPLICATE_TEXT.replace("{name}", "\0").replace("{n}", "\0").replace("{files}", "\0").split("\0")
 view("duplicate_findings_v", f"""SELECT t.repo_id, t.name AS tool, 'Duplicate tool name' AS type,
 {q(d_start)} || t.name || {q(d_mid)} || count(*) || {q(d_end)} ||
-CASE WHEN count(*) <= 100 THEN string_agg(file, ', ' ORDER BY language DESC, file, seq) ELSE count(DISTINCT file) || ' files' END || {q(d_tail)} AS detail,
+count(DISTINCT file) || ' files' || {q(d_tail)} AS detail,
 'MEDIUM' AS confidence, 'HIGH' AS severity, count(*) || ' registrations across ' || count(DISTINCT file) || ' files' AS matched_text
 FROM tools_v t GROUP BY t.repo_id, t.name HAVING count(*) > 1""")
 
@@ -395,11 +395,9 @@ LEFT JOIN by_name_v n USING (repo_id, name) LEFT JOIN matrix_v m USING (repo_id,
 
 view("report_v", report("blast_v"))
 view("verdicts_v", f"""SELECT source AS repo_id, {FILE} AS file, k AS seq, unnest(['file_access', 'network_access',
-CASE WHEN k % 2 = 0 THEN 'environment_access' ELSE 'subprocess_execution' END]) AS category
-FROM (SELECT l.doc_id AS k, d.source, l.quality FROM labels l JOIN documents d USING (doc_id)) WHERE quality = 1""")
-view("eligible_v", """SELECT * FROM (SELECT repo_id, file, seq, category, row_number() OVER (PARTITION BY repo_id ORDER BY language DESC, file, seq, place) AS n
-FROM (SELECT repo_id, file, seq, language, unnest(mismatches) AS category, generate_subscripts(mismatches, 1) AS place FROM behavior_v)) WHERE n <= 20""")
-view("covered_v", """SELECT repo_id, file, seq, list(DISTINCT category) AS covered FROM eligible_v SEMI JOIN verdicts_v USING (repo_id, file, seq, category) GROUP BY ALL""")
+CASE WHEN k % 2 = 0 THEN 'environment_access' ELSE 'subprocess_execution' END]) AS category, quality = 1 AS covered,
+'reviewed: quality ' || quality || ', toxic ' || toxic AS reasoning FROM (SELECT l.doc_id AS k, d.source, l.quality, l.toxic FROM labels l JOIN documents d USING (doc_id))""")
+view("covered_v", """SELECT repo_id, file, seq, list(DISTINCT category) AS covered FROM (SELECT repo_id, file, seq, unnest(mismatches) AS category FROM behavior_v) SEMI JOIN (FROM verdicts_v WHERE covered) USING (repo_id, file, seq, category) GROUP BY ALL""")
 view("reviewed_v", """SELECT b.* REPLACE (list_filter(b.mismatches, lambda x: NOT list_contains(coalesce(c.covered, []), x)) AS mismatches)
 FROM blast_v b LEFT JOIN covered_v c USING (repo_id, file, seq)""")
 view("file_secrets_v", secrets("files_v", "content", "repo_id, path"))
@@ -572,7 +570,9 @@ def statements() -> dict[str, str]:
         "gate_lenient": gate(rules.PRESETS["lenient"]),
         "build_decisions": builds.format(legacy="overall_score IN ('RED', 'YELLOW')", gate=gate(lenient)),
         "tool_source_files": "SELECT repo_id, path, language FROM sources_v",
-        "language_counts": "SELECT repo_id, python_files, js_files, python_files > 5000 OR js_files > 5000 AS capped, python_files + js_files > 350 AS too_large, CASE WHEN python_files > 5000 OR js_files > 5000 THEN 'This repo has more than 5000 files in one language - only the first 5000 of that language were scanned for tools, and static analysis was skipped entirely.' WHEN python_files + js_files > 350 THEN 'This repo has more than 350 Python + JS/TS files combined, so static analysis was skipped (tools were still scanned across up to 5000 files per language).' END AS warning FROM (SELECT repo_id, count(*) FILTER (language = 'Python') AS python_files, count(*) FILTER (language = 'JS/TS') AS js_files FROM sources_v GROUP BY ALL)",
+        "review_notes": "SELECT repo_id, file, seq, category, covered, reasoning FROM (SELECT repo_id, file, seq, unnest(mismatches) AS category FROM behavior_v) JOIN verdicts_v USING (repo_id, file, seq, category)",
+        "language_counts": "SELECT repo_id, count(*) FILTER (language = 'Python') AS python_files, count(*) FILTER (language = 'JS/TS') AS js_files FROM sources_v GROUP BY ALL",
+        "budget_warnings": "SELECT *, CASE WHEN capped THEN 'This repo has more than 7 files in one language - only the first 7 of that language were scanned for tools, and static analysis was skipped entirely.' WHEN too_large THEN 'This repo has more than 9 Python + JS/TS files combined, so static analysis was skipped (tools were still scanned across up to 7 files per language).' END AS warning FROM (SELECT *, python_files > 7 OR js_files > 7 AS capped, python_files + js_files > 9 AS too_large FROM (SELECT repo_id, count(*) FILTER (language = 'Python') AS python_files, count(*) FILTER (language = 'JS/TS') AS js_files FROM sources_v GROUP BY ALL))",
         "files_within_budget": "SELECT repo_id, path, language FROM (SELECT *, row_number() OVER (PARTITION BY repo_id, language ORDER BY path) AS n FROM sources_v) WHERE n <= 7",
         "extracted_tools": "SELECT * FROM extracted_v",
         "stream_decisions": f"SELECT {audit} FROM decisions_v",

@@ -353,6 +353,11 @@ def reviewed_mismatches(spark, folder):
     )
 
 
+@query
+def review_notes(spark, folder):
+    return attach.review_notes(report.with_behavior(tools_with_flags(spark, folder)), views.verdicts(spark, folder))
+
+
 @query
 def finding_guidance(spark, folder):
     found = report.with_behavior(tools_with_flags(spark, folder))
@@ -433,6 +438,12 @@ def language_counts(spark, folder):
     return files.language_counts(files.tool_sources(views.source_files(spark, folder)))
 
 
+@query
+def budget_warnings(spark, folder):
+    counts = files.language_counts(files.tool_sources(views.source_files(spark, folder)))
+    return files.budget_warnings(counts, limit=7, analysis=9)
+
+
 @query
 def files_within_budget(spark, folder):
     chosen = files.tool_sources(views.source_files(spark, folder))

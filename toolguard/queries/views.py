@@ -202,7 +202,7 @@ def verdicts(spark: SparkSession, folder: str) -> DataFrame:
             )
         ).alias("category"),
         (F.col("quality") == 1).alias("covered"),
-        F.lit("reviewed").alias("reasoning"),
+        F.concat(F.lit("reviewed: quality "), F.col("quality").cast("string"), F.lit(", toxic "), F.col("toxic").cast("string")).alias("reasoning"),
     )
 
 

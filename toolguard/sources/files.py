@@ -96,15 +96,17 @@ def tool_sources(files: DataFrame) -> DataFrame:
 
 
 def language_counts(sources: DataFrame) -> DataFrame:
-    """Files per repo and language, and what the published budgets say to that."""
-    limit, analysis = rules.FILES_PER_LANGUAGE, rules.STATIC_ANALYSIS_FILES
+    """Files per repo and language."""
+    return sources.groupBy("repo_id").agg(
+        F.count_if(F.col("language") == "Python").alias("python_files"),
+        F.count_if(F.col("language") == "JS/TS").alias("js_files"),
+    )
+
+
+def budget_warnings(counts: DataFrame, limit: int, analysis: int) -> DataFrame:
+    """What limits that a caller applies leave out: files per language beyond ``limit``, analysis beyond ``analysis`` files."""
     return (
-        sources.groupBy("repo_id")
-        .agg(
-            F.count_if(F.col("language") == "Python").alias("python_files"),
-            F.count_if(F.col("language") == "JS/TS").alias("js_files"),
-        )
-        .withColumn("capped", (F.col("python_files") > limit) | (F.col("js_files") > limit))
+        counts.withColumn("capped", (F.col("python_files") > limit) | (F.col("js_files") > limit))
         .withColumn("too_large", F.col("python_files") + F.col("js_files") > analysis)
         .withColumn(
             "warning",
@@ -121,11 +123,10 @@ def language_counts(sources: DataFrame) -> DataFrame:
     )
 
 
-def within_budget(sources: DataFrame, limit: int = rules.FILES_PER_LANGUAGE) -> DataFrame:
-    """The first ``limit`` files of a repo and language by path; for parity only.
+def within_budget(sources: DataFrame, limit: int) -> DataFrame:
+    """The first ``limit`` files of a repo and language by path, for a caller that asks for it.
 
-    Off by default: a cluster needs no such budget.  Only keys are ranked; file
-    contents meet the last allowed path of their repo, if it has one.
+    Only keys are ranked; file contents meet the last allowed path of their repo, if it has one.
     """
     keys = sources.select("repo_id", "language", "path")
     last = (

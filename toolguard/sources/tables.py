@@ -36,9 +36,11 @@ def _plain(value):
 
 def read_policy(spark: SparkSession, path: str) -> dict:
     """One policy from a JSON file; what is absent stays absent."""
-    rows = spark.read.schema(schemas.POLICY).option("multiLine", True).json(path).take(1)
+    rows = spark.read.schema(schemas.POLICY).option("multiLine", True).json(path).take(2)
     if not rows:
         raise ValueError(f"no policy in {path}")
+    if len(rows) > 1:
+        raise ValueError(f"more than one policy in {path}")
     return policies.validated(_plain(rows[0]))
 
 
