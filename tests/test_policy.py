@@ -2,8 +2,13 @@
 
 import hashlib
 import json
+import re
 
 import pytest
+from pyspark.sql import functions as F
+
+from toolguard.functions import arguments as args
+from toolguard.functions import regex
 from toolguard.operators import policy
 from toolguard.sources import tables
 
@@ -45,6 +50,61 @@ def test_default_policy(spark, name, arguments, capabilities, action, severity):
     assert (got.action, got.severity) == (action, severity)
 
 
+PATTERNS = [
+    r"(?s)rm.*-rf", r"(?m)^rm$", r"rm$", r"^rm", r"(?a)rm(\w)", r"(?i)rm", r"a(?i:b)c", r"(?i)a(?-i:b)c", r"(?s:.)x", r"a.b", r"(?P<x>a)(?P=x)",
+    r"(?P<a_b>r)m", r"\bfoo\b", r"\Bm", r"a(?#c)b", r"[\W]x", r"[^\W\d]+", r"\d{2,}", r"x{,2}y", r"x{}", r"[a[b]", r"[&&a]", r"a\v", r"\x41",
+    r"\u0041", r"(a)\1", r"\101", r"[\1]", r"\0", r"(?:a|b)+?c", r"(?=a)a", r"(?<!b)m", r"(?>a+)b", r"a++b", r"\Arm\Z", r"é\w", r"\s", r"(?a)\s",
+    r"^$", r"(?m)$", r"(?ms)^a.b$", r"(?i)ſ", r"[]a]", r"[^]a]", r"(?<=a)b", r"(|x)y", r"(?a:\w)é", r"\ba\B", r"(?m:^)b", r"\.\/\-",
+]
+TEXTS = [
+    "rm\n-rf", "ls\nrm\nx", "rm", "rm\n", "x rm", "RM", "aBc", "abc", "ABC", "a\nx", "a\nb", "aab", "aa", "foo bar", "xfoo", "ab", "é x", "12", "xxy",
+    "y", "x{}", "[", "b", "&", "a", "a\x0b", "A", "\x01", "\x00", "bc", "m", "bm", "é_", "ü", "\u2003", "\x85", "", "\n", "aa\nb", "K", "ſ", "s", "]",
+    "^", "./-", "aé", "eé", "rmé",
+]
+
+
+def test_patterns_with_flags_match_as_in_python(spark):
+    frame = spark.createDataFrame([(t,) for t in TEXTS], "t string")
+    for row in frame.select("t", *(F.col("t").rlike(regex.java(p)).alias(f"p{n}") for n, p in enumerate(PATTERNS))).collect():
+        assert [bool(re.search(p, row.t)) for p in PATTERNS] == list(row[1:]), row.t
+
+
+@pytest.mark.parametrize("pattern", [r"(a)?(?(1)b|c)", r"(?x)a (b)", r"(\N{digit one})"])
+def test_patterns_without_an_equal_are_refused(spark, pattern):
+    with pytest.raises(regex.Untranslatable):
+        regex.java(pattern)
+    if not pattern.startswith(r"(\N"):  # in lower case it is no pattern, so a substring
+        with pytest.raises(ValueError, match="pattern"):
+            decide(spark, "t", {"n": "b"}, rules=with_rule({"arg_matches": {"n": pattern}}))
+
+
+@pytest.mark.parametrize("text", ['{"command": "rm -rf /"', "[1]", '"x"', "null", "1", "", "{]", "nonsense"])
+def test_unreadable_arguments_are_not_allowed(spark, text):
+    frame = spark.createDataFrame([("t", text, None, None)], "tool_name string, arguments string, description string, capabilities array<string>")
+    got = policy.decide(frame, policy.default_policy()).first()
+    assert (got.arguments_unreadable, got.action, got.rule) == (True, "BLOCK", "unreadable_arguments")
+    asked = {**policy.default_policy(), "unreadable_action": "REQUIRE_APPROVAL"}
+    assert policy.decide(frame, asked).first().action == "REQUIRE_APPROVAL"
+    with pytest.raises(ValueError):
+        policy.decide(frame, {"unreadable_action": "PASS"})
+
+
+@pytest.mark.parametrize(
+    "value", [{"b": 1, "a": 2}, ["null"], [1.0, 2], ["it's"], ['say "x"'], ['it\'s "x"'], {"k": [True, None, {"z": "\n\\\t"}]}, [], [[1.5, -2]], ["é"]]
+)
+def test_nested_arguments_print_as_in_python(spark, value):
+    text = json.dumps({"n": value})
+    row = spark.createDataFrame([(text,)], "a string").select(args.rule_text(args.parsed(F.col("a")), F.lit("n")).alias("t")).first()
+    assert row.t == str(value).lower()
+
+
+@pytest.mark.parametrize("value", [[1.0], [1.0, [2.50, "x y"]], {"b": [1, 2], "a": None}, ["é", True]])
+def test_ids_of_nested_arguments(spark, value):
+    wanted = json.dumps({"n": value}, sort_keys=True)
+    got = decide(spark, "t", {"n": value})
+    assert got.call_id == hashlib.sha256(f"t:{wanted}".encode()).hexdigest()[:16]
+
+
 @pytest.mark.parametrize(
     "match, arguments, hit",
     [
@@ -141,7 +201,7 @@ def test_call_files_totals_and_trails(spark, tmp_path):
     )
     decided = policy.decide(tables.read_calls(spark, str(tmp_path / "calls.json")), policy.default_policy())
     assert {r.tool_name for r in decided.collect()} == {"a", "unknown", "f"}
-    assert policy.totals(decided).collect()[0] == (3, 1, 1, 1)
+    assert policy.totals(decided).collect()[0] == (3, 1, 1, 0, 1)
     tables.append_audit(decided, str(tmp_path / "audit"))
     tables.append_audit(decided, str(tmp_path / "audit"))
     audit = tables.read_audit(spark, str(tmp_path / "audit"))

@@ -17,11 +17,13 @@ LOG_LIMIT, LOG_KEPT, LOG_MARK = 50, 20, "...[truncated]"
 
 
 def parsed(arguments: Column) -> Column:
-    """Struct of both parses; absent or unreadable arguments are an empty object."""
+    """Struct of both parses, and whether there was no object to parse; absent arguments are an empty object."""
     text = F.coalesce(arguments, F.lit("{}"))
+    typed, plain = F.from_json(text, "map<string,variant>"), F.from_json(text, "map<string,string>")
     return F.struct(
-        F.coalesce(F.from_json(text, "map<string,variant>"), F.from_json(F.lit("{}"), "map<string,variant>")).alias("typed"),
-        F.coalesce(F.from_json(text, "map<string,string>"), F.create_map().cast("map<string,string>")).alias("plain"),
+        F.coalesce(typed, F.from_json(F.lit("{}"), "map<string,variant>")).alias("typed"),
+        F.coalesce(plain, F.create_map().cast("map<string,string>")).alias("plain"),
+        (typed.isNull() | plain.isNull()).alias("unreadable"),
     )
 
 
@@ -107,6 +109,8 @@ def _json_value(value: Column, plain: Column) -> Column:
     return (
         F.when(_is(value, "STRING"), json_string(plain))
         .when(_is(value, "BIGINT", "DECIMAL", "DOUBLE", "FLOAT"), python_number(plain))
+        # An array without objects has no keys to sort: its numbers stay as written.
+        .when(_is(value, "ARRAY") & ~F.contains(plain, F.lit("{")), spaced_json(plain))
         .when(_is(value, "OBJECT", "ARRAY"), spaced_json(F.to_json(value)))
         .otherwise(F.to_json(value))
     )
@@ -158,18 +162,37 @@ def rule_texts(args: Column, names: list[str]) -> Column:
 def rule_text(args: Column, name: Column) -> Column:
     """The lowercased text a rule sees for an argument; '' where it is missing."""
     value, plain = args["typed"][name], args["plain"][name]
-    nested = F.regexp_replace(spaced_json(F.to_json(value)), '"', "'")
-    nested = F.regexp_replace(nested, r"\bnull\b", "none")
     text = (
         F.when(_is(value, "STRING"), plain)
         .when(_is(value, "BIGINT", "DECIMAL", "DOUBLE", "FLOAT"), python_number(plain))
-        .when(_is(value, "OBJECT", "ARRAY"), nested)
+        .when(_is(value, "OBJECT", "ARRAY"), printed(plain))
         .when(_is(value, "VOID"), "none")
         .otherwise(plain)
     )
     return F.lower(F.when(F.map_contains_key(args["plain"], name), text).otherwise(""))
 
 
+def printed(compact: Column) -> Column:
+    """Nested JSON as Python prints it: keys in their order, quotes by what a string holds, None for null."""
+    tokens = F.regexp_extract_all(compact, F.lit(TOKEN), F.lit(0))
+
+    def string(token: Column) -> Column:
+        inner = F.substring(token, F.lit(2), F.length(token) - 2)
+        text = F.when(F.contains(inner, F.lit("\\")), F.from_json(F.concat(F.lit("["), token, F.lit("]")), "array<string>")[0]).otherwise(inner)
+        double = F.contains(text, F.lit("'")) & ~F.contains(text, F.lit('"'))
+        for char, shown in (("\\", "\\\\"), ("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t")):
+            text = F.replace(text, F.lit(char), F.lit(shown))
+        quoted = F.concat(F.lit("'"), F.replace(text, F.lit("'"), F.lit("\\'")), F.lit("'"))
+        return F.when(double, F.concat(F.lit('"'), text, F.lit('"'))).otherwise(quoted)
+
+    words = constant_map({"null": "None", "true": "True", "false": "False"})
+    shown = F.transform(
+        tokens,
+        lambda t: F.when(t.isin(",", ":"), F.concat(t, F.lit(" "))).when(t.startswith('"'), string(t)).otherwise(F.coalesce(F.try_element_at(words, t), t)),
+    )
+    return F.array_join(shown, "")
+
+
 def truthy(args: Column, name: str) -> Column:
     """True where the argument is present and neither empty, zero, false nor null."""
     value = F.to_json(args["typed"][name])

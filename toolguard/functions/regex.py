@@ -18,18 +18,41 @@ from toolguard.functions.constants import constant, let
 WORD = r"\p{L}\p{N}_"
 SPACE = r"\t-\r\x1c-\x1f \x85\p{Z}"
 _SETS = {"w": WORD, "s": SPACE, "d": r"\p{Nd}"}
-_EDGE = f"(?:(?<=[{WORD}])(?![{WORD}])|(?<![{WORD}])(?=[{WORD}]))"
+_ASCII_SETS = {"w": "a-zA-Z0-9_", "s": r"\t-\r ", "d": "0-9"}
 _COUNT = re.compile(r"\{(\d*)(?:(,)(\d*))?\}")
+_GLOBAL_FLAGS = re.compile(r"\(\?([a-zA-Z]+)\)")
+_SCOPED_FLAGS = re.compile(r"\(\?([a-zA-Z]*)(?:-([a-zA-Z]+))?:")
+_NAMED = re.compile(r"\(\?P(?:<(\w+)>|=(\w+)\))")
+# Letters that mean something else to Java, or nothing.
+_CONTROL = {"v": r"\x0b", "a": r"\x07"}
+
+
+class Untranslatable(ValueError):
+    """A pattern that Python reads but that has no equal here."""
+
+
+def _edge(word: str) -> str:
+    return f"(?:(?<=[{word}])(?![{word}])|(?<![{word}])(?=[{word}]))"
 
 
 def java(pattern: str, ignore_case: bool = False, dotall: bool = False) -> str:
-    """Java form of a Python ``str`` pattern."""
-    out, i, in_class = [], 0, False
+    """Java form of a Python ``str`` pattern; ``Untranslatable`` if there is none.
+
+    Inline flags for case, dots, lines and ASCII are followed group by group.
+    """
+    names = re.compile(pattern).groupindex
+    active = {*("i" if ignore_case else ""), *("s" if dotall else "")}
+    out, i, in_class, closing = [], 0, False, []
+    while found := _GLOBAL_FLAGS.match(pattern, i):  # only at the start
+        active |= _known(found[1], pattern)
+        i = found.end()
+    start_case = "i" in active
     while i < len(pattern):
         c = pattern[i]
+        sets = _ASCII_SETS if "a" in active else _SETS
         if c == "\\" and i + 1 < len(pattern):
-            out.append(_escape(pattern, i, in_class))
-            i += 2
+            text, i = _escape(pattern, i, in_class, sets)
+            out.append(text)
             continue
         if in_class:
             if c == "]" and out[-1] not in ("[", "[^"):
@@ -42,10 +65,22 @@ def java(pattern: str, ignore_case: bool = False, dotall: bool = False) -> str:
             negated = pattern[i + 1 : i + 2] == "^"
             out.append("[^" if negated else "[")
             i += negated
-        elif c == "." and not dotall:
-            out.append(r"[^\n]")
+        elif c == "(":
+            closing.append(active)
+            text, i, active = _group(pattern, i, active, names)
+            out.append(text)
+            if text == "":
+                closing.pop()
+            continue
+        elif c == ")":
+            active = closing.pop() if closing else active
+            out.append(c)
+        elif c == ".":
+            out.append(r"[\s\S]" if "s" in active else r"[^\n]")
+        elif c == "^":
+            out.append(r"(?<![^\n])" if "m" in active else r"\A")
         elif c == "$":
-            out.append(r"(?=\n?\z)")
+            out.append(r"(?![^\n])" if "m" in active else r"(?=\n?\z)")
         elif c == "{":
             count = _COUNT.match(pattern, i)
             if count and (count.group(1) or count.group(3)):
@@ -57,23 +92,72 @@ def java(pattern: str, ignore_case: bool = False, dotall: bool = False) -> str:
         else:
             out.append(c)
         i += 1
-    flags = ("iu" if ignore_case else "") + ("s" if dotall else "")
-    return (f"(?{flags})" if flags else "") + "".join(out)
-
-
-def _escape(pattern: str, i: int, in_class: bool) -> str:
-    kind = pattern[i + 1]
-    if kind in _SETS:
-        return _SETS[kind] if in_class else f"[{_SETS[kind]}]"
-    if kind in ("W", "S", "D") and not in_class:
-        return f"[^{_SETS[kind.lower()]}]"
-    if kind == "b" and not in_class:
-        following = pattern[i + 2 : i + 3]
+    return ("(?iu)" if start_case else "") + "".join(out)
+
+
+def _known(flags: str | None, pattern: str) -> set[str]:
+    found = set(flags or "") - {"u"}
+    if found - set("imsa"):
+        raise Untranslatable(f"flags {flags!r} in pattern {pattern!r}")
+    return found
+
+
+def _group(pattern: str, i: int, active: set[str], names: dict) -> tuple[str, int, set[str]]:
+    """What opens a group, where its body starts, and the flags inside it."""
+    if pattern.startswith("(?#", i):
+        return "", pattern.index(")", i) + 1, active
+    if pattern.startswith("(?(", i):
+        raise Untranslatable(f"a condition in pattern {pattern!r}")
+    if named := _NAMED.match(pattern, i):
+        if named[1]:
+            return "(", named.end(), active
+        return f"(?:\\{names[named[2]]}", named.end() - 1, active  # its own bracket closes the group
+    flags = _SCOPED_FLAGS.match(pattern, i)
+    if flags and (flags[1] or flags[2]):
+        off = _known(flags[2], pattern)
+        inner = (active | _known(flags[1], pattern)) - off
+        case = "(?iu:" if "i" in inner and "i" not in active else "(?-iu:" if "i" in active and "i" not in inner else "(?:"
+        return case, flags.end(), inner
+    end = i + 1
+    while end < len(pattern) and pattern[i + 1 : i + 2] == "?" and pattern[end] in "?:=!<>":
+        end += 1
+    return pattern[i:end], end, active
+
+
+def _escape(pattern: str, i: int, in_class: bool, sets: dict) -> tuple[str, int]:
+    """Java form of the escape at ``i``, and where the pattern goes on."""
+    kind, end = pattern[i + 1], i + 2
+    word = sets["w"]
+    if kind in sets:
+        return (sets[kind] if in_class else f"[{sets[kind]}]"), end
+    if kind in ("W", "S", "D"):
+        return f"[^{sets[kind.lower()]}]", end
+    if kind == "b" and in_class:
+        return r"\x08", end
+    if kind == "b":
+        following = pattern[end : end + 1]
         # Before a literal word character an edge is simply "no word behind".
-        return f"(?<![{WORD}])" if following.isalnum() else _EDGE
-    if kind == "Z":
-        return r"\z"
-    return "\\" + kind
+        return (f"(?<![{word}])" if following.isalnum() else _edge(word)), end
+    if kind == "B":
+        return f"(?!{_edge(word)})", end
+    if kind in ("Z", "z"):
+        return r"\z", end
+    if kind == "N":
+        raise Untranslatable(f"a named character in pattern {pattern!r}")
+    if kind == "0" or (kind.isdigit() and in_class):
+        while end < min(len(pattern), i + 4) and pattern[end] in "01234567":
+            end += 1
+        return f"\\x{{{int(pattern[i + 1 : end], 8):x}}}", end
+    if kind == "U":
+        return f"\\x{{{int(pattern[end : end + 8], 16):x}}}", end + 8
+    if kind.isdigit():  # a group, or an octal number of three digits
+        while end < min(len(pattern), i + 4) and pattern[end].isdigit():
+            end += 1
+        digits = pattern[i + 1 : end]
+        if len(digits) == 3:
+            return f"\\x{{{int(digits, 8):x}}}", end
+        return f"(?:\\{digits})", end
+    return _CONTROL.get(kind, "\\" + kind), end
 
 
 def hint(pattern: str) -> str:

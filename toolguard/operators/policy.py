@@ -10,7 +10,7 @@ from __future__ import annotations
 import copy
 import re
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from toolguard import rules
@@ -73,7 +73,8 @@ def text_matches(lowered: Column, pattern: str) -> Column:
     """Case-insensitive substring, or regex where the pattern looks like one.
 
     The pattern itself is lowercased first, escapes included; one that is no
-    valid regex is a substring again.  All of that is settled while compiling.
+    valid regex is a substring again.  All of that is settled while compiling: a
+    pattern that means something else here, or nothing, is an error that names it.
     """
     pattern = str(pattern).lower()
     if pattern.startswith(REGEX_STARTS) or any(m in pattern for m in REGEX_MARKS):
@@ -81,10 +82,20 @@ def text_matches(lowered: Column, pattern: str) -> Column:
             re.compile(pattern)
         except re.error:
             return lowered.contains(pattern)
-        return lowered.rlike(regex.java(pattern, ignore_case=True))
+        return lowered.rlike(_usable(regex.java(pattern, ignore_case=True), pattern))
     return lowered.contains(pattern)
 
 
+def _usable(translated: str, pattern: str) -> str:
+    """The translated pattern, tried out before any call is decided."""
+    spark = SparkSession.active()
+    try:
+        spark.sql("SELECT rlike('', :pattern)", args={"pattern": translated}).first()
+    except Exception as error:
+        raise regex.Untranslatable(f"pattern {pattern!r} cannot be used") from error
+    return translated
+
+
 def _conditions(match: dict, arg_columns: dict[str, Column]) -> list[Column]:
     tool, description = F.lower("tool_name"), F.lower(F.coalesce("description", F.lit("")))
     found = []
@@ -125,9 +136,18 @@ def _outcome(action: str, rule: str, reason: str, severity: str) -> Column:
     return constant({"action": action, "rule": rule, "reason": reason, "severity": severity})
 
 
+UNREADABLE = "unreadable_arguments"
+
+
 def decide(calls: DataFrame, policy: dict) -> DataFrame:
-    """Add ``call_id, action, rule, reason, severity, logged_arguments`` to every call."""
+    """Add ``call_id, action, rule, reason, severity, logged_arguments, arguments_unreadable`` to every call.
+
+    Arguments that are no JSON object cannot be checked.  Such a call gets the policy's
+    ``unreadable_action``, BLOCK unless it says otherwise, before any rule is tried.
+    """
     policy = validated({"rules": [], **policy})
+    unreadable_action = policy.get("unreadable_action", "BLOCK")
+    _check_action({"action": unreadable_action}, "unreadable_action")
     default = policy.get("default_action", "ALLOW")
     names = _argument_names(policy)
     # Every argument that rules look at is rendered once, then shared by them.
@@ -137,7 +157,8 @@ def decide(calls: DataFrame, policy: dict) -> DataFrame:
         .withColumn("__texts", args.rule_texts(F.col("__args"), names))
     )
     columns = {n: F.try_element_at("__texts", F.lit(n)) for n in names}
-    prepared = prepared.withColumn("__hit", F.lit(None).cast("struct<action:string,rule:string,reason:string,severity:string>"))
+    unreadable = _outcome(unreadable_action, UNREADABLE, "The arguments are not a JSON object", "HIGH")
+    prepared = prepared.withColumn("__hit", F.when(F.col("__args.unreadable"), unreadable))
     for start in range(0, len(policy["rules"]), RULES_PER_STEP):
         case = F.when(F.col("__hit").isNotNull(), F.col("__hit"))
         for rule in policy["rules"][start : start + RULES_PER_STEP]:
@@ -166,18 +187,20 @@ def decide(calls: DataFrame, policy: dict) -> DataFrame:
             "__hit.reason",
             "__hit.severity",
             "logged_arguments",
+            F.col("__args.unreadable").alias("arguments_unreadable"),
         )
     )
 
 
 # -------------------------------------------------------------------- roll-ups
 def totals(decisions: DataFrame) -> DataFrame:
-    """Calls, blocked calls, calls awaiting approval, and the exit code they imply."""
+    """Calls, blocked calls, calls awaiting approval, calls with unreadable arguments, and the exit code they imply."""
     blocked = F.count_if(F.col("action") == "BLOCK")
     return decisions.agg(
         F.count(F.lit(1)).alias("total_calls"),
         blocked.alias("blocked"),
         F.count_if(F.col("action") == "REQUIRE_APPROVAL").alias("require_approval"),
+        F.count_if("arguments_unreadable").alias("unreadable"),
         F.when(blocked > 0, 1).otherwise(0).alias("exit_code"),
     )
 

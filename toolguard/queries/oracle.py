@@ -503,6 +503,13 @@ def with_views(sql: str, replaced: dict[str, str] | None = None) -> str:
     return f"WITH {clauses} {sql}" if clauses else sql
 
 
+# Patterns of rules, and what RE2 calls them ("$" there has no room for a line end).
+FLAGGED = [
+    (r"(?s)^c.*7\n*$", r"(?s)^c.*7\n*$"), (r"(?m)^view$", r"(?m)^view$"), (r"^purchase\n\d*[02468]$", r"^purchase\n[0-9]*[02468]$"),
+    (r"(?m:^)1\d*$(?#end)", r"(?:^|\n)1[0-9]*$"), (r"^s.*9$", r"^s[^\n]*9$"), (r"(?:^|x)(?s:search.)5", r"(?s)(?:^|x)search.5"),
+]
+
+
 def statements() -> dict[str, str]:
     key = "repo_id, file, seq"
     risk_text = table_case("risk_level", rules.RISK_TEXT)
@@ -524,7 +531,9 @@ def statements() -> dict[str, str]:
     audit = "call_ts, call_id, action, rule, reason, severity, tool_name, logged_arguments"
     plain_queries = {
         "policy_decisions": "SELECT event_id, call_ts, tool_name, call_id, action, rule, reason, severity, logged_arguments FROM decisions_v",
-        "policy_totals": "SELECT count(*) AS total_calls, count(*) FILTER (action = 'BLOCK') AS blocked, count(*) FILTER (action = 'REQUIRE_APPROVAL') AS require_approval, CAST(CASE WHEN count(*) FILTER (action = 'BLOCK') > 0 THEN 1 ELSE 0 END AS INTEGER) AS exit_code FROM decisions_v",
+        "policy_patterns": f"SELECT event_id, CASE WHEN rule IS NULL THEN 'ALLOW' ELSE 'BLOCK' END AS action, coalesce(rule, 'default_action') AS rule FROM (SELECT event_id, CASE {' '.join(f'WHEN regexp_matches(t, {q(r)}) THEN {q(p)}' for p, r in FLAGGED)} END AS rule FROM (SELECT event_id, lower(event_type) || chr(10) || user_id AS t FROM events))",
+        "unreadable_calls": f"SELECT event_id, tool_name, 'BLOCK' AS action, 'unreadable_arguments' AS rule, 'The arguments are not a JSON object' AS reason, 'HIGH' AS severity, '{{}}' AS logged_arguments FROM calls_v WHERE event_id % 4 IN (1, 2) AND {pick('event_id', ['false' if a is None else 'true' for a, _, _ in seeds.CALL_ARGUMENTS])}",
+        "policy_totals": "SELECT count(*) AS total_calls, count(*) FILTER (action = 'BLOCK') AS blocked, count(*) FILTER (action = 'REQUIRE_APPROVAL') AS require_approval, CAST(0 AS BIGINT) AS unreadable, CAST(CASE WHEN count(*) FILTER (action = 'BLOCK') > 0 THEN 1 ELSE 0 END AS INTEGER) AS exit_code FROM decisions_v",
         "policy_custom_rules": f"SELECT event_id, action, rule, reason, severity FROM ({custom()})",
         "policy_default_trail": "SELECT call_ts, tool_name, action, rule, call_id FROM decisions_v WHERE rule = 'default_action'",
         "call_ids": "SELECT event_id, canonical_arguments, call_id FROM decisions_v",

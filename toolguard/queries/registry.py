@@ -76,6 +76,34 @@ def policy_custom_rules(spark, folder):
     return decided.select("event_id", "action", "rule", "reason", "severity")
 
 
+# Patterns with inline flags, each a rule on an argument of two lines.
+FLAGGED_PATTERNS = [r"(?s)^c.*7\n*$", r"(?m)^view$", r"^purchase\n\d*[02468]$", r"(?m:^)1\d*$(?#end)", r"^s.*9$", r"(?:^|x)(?s:search.)5"]
+
+
+@query
+def policy_patterns(spark, folder):
+    tested = [{"name": p, "match": {"arg_matches": {"q": p}}, "action": "BLOCK"} for p in FLAGGED_PATTERNS]
+    two_lines = F.to_json(F.struct(F.concat("event_type", F.lit("\n"), F.col("user_id").cast("string")).alias("q")))
+    events = views.spread(spark, folder, "events", "event_id", "event_type", "user_id")
+    calls = events.select(
+        "event_id", F.lit("t").alias("tool_name"), two_lines.alias("arguments"), F.lit(None).cast("string").alias("description"),
+        F.array().cast("array<string>").alias("capabilities"),
+    )
+    return policy.decide(calls, {"rules": tested}).select("event_id", "action", "rule")
+
+
+@query
+def unreadable_calls(spark, folder):
+    calls = views.calls(spark, folder)
+    # Every fourth call is cut off, every fourth holds a list.
+    broken = F.when(F.col("event_id") % 4 == 1, F.expr("left(arguments, length(arguments) - 1)")).when(
+        F.col("event_id") % 4 == 2, F.concat(F.lit("["), "arguments", F.lit("]"))
+    )
+    calls = calls.withColumn("arguments", F.coalesce(broken, "arguments"))
+    decided = policy.decide(calls, policy.default_policy()).where("arguments_unreadable")
+    return decided.select("event_id", "tool_name", "action", "rule", "reason", "severity", "logged_arguments")
+
+
 @query
 def policy_default_trail(spark, folder):
     return policy.default_decisions(policy.decide(views.calls(spark, folder), policy.default_policy()))
