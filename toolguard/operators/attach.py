@@ -7,16 +7,21 @@ from pyspark.sql import functions as F
 
 from toolguard.functions import capabilities as caps
 from toolguard.scale import hot_keys, hottest, salted_join, unnest
-from toolguard.sources.files import without_file_behavior
+from toolguard.sources.files import is_js_source, is_python_source, without_file_behavior
 from toolguard.schemas import TOOL_KEY
 
 
 def file_behavior(files: DataFrame) -> DataFrame:
-    """Files with at least one behavior flag (a map over files, no shuffle)."""
+    """Scanned files with at least one behavior flag (a map over files, no shuffle).
+
+    Test files and pruned folders are left out, as in the scan for tools; two more folders are, for Python.
+    """
+    path = F.col("path")
+    scanned = (is_python_source(path) & ~without_file_behavior(path)) | is_js_source(path)
     flags = caps.flags_by_language(F.col("content"), caps.is_js(F.col("path")))
     # Through an array of one, so that the size test does not compute the flags again.
     found = F.filter(F.array(flags), lambda f: F.size(f) > 0)
-    return unnest(files, ["repo_id", "path"], found, "flags")
+    return unnest(files.where(scanned), ["repo_id", "path"], found, "flags")
 
 
 def attach_file_flags(tools: DataFrame, behavior: DataFrame) -> DataFrame:
@@ -44,31 +49,76 @@ def behavior_flags(snippet: Column, file: Column, file_flags: Column) -> Column:
     )
 
 
-def normalized_path(path: Column) -> Column:
-    """A path without empty, ``.`` and ``..`` parts; most paths have none and stay as they are."""
+def normalized_path(path: Column, root: str | None = None) -> Column:
+    """A path without empty, ``.`` and ``..`` parts, relative to ``root`` if it lies below it.
+
+    Other absolute paths keep their slash, and what climbs out of the repo keeps its ``..``.
+    Most paths have none of that and stay as they are.
+    """
+    text = F.replace(path, F.lit("\\"), F.lit("/"))
+    absolute = text.startswith("/")
     parts = F.aggregate(
-        F.split(F.regexp_replace(path, r"\\", "/"), "/"),
+        F.split(text, "/"),
         F.array().cast("array<string>"),
         lambda kept, part: F.when(part.isin("", "."), kept)
-        .when(part == "..", F.slice(kept, 1, F.greatest(F.size(kept) - 1, F.lit(0))))
+        .when(
+            part == "..",
+            F.when((F.size(kept) > 0) & (F.try_element_at(kept, F.lit(-1)) != ".."), F.slice(kept, 1, F.size(kept) - 1))
+            .when(absolute, kept)
+            .otherwise(F.concat(kept, F.array(part))),
+        )
         .otherwise(F.concat(kept, F.array(part))),
     )
-    return F.when(path.rlike(r"(?:^|/)\.{0,2}(?:/|\z)|\\"), F.array_join(parts, "/")).otherwise(path)
+    written = F.concat(F.when(absolute, "/").otherwise(""), F.array_join(parts, "/"))
+    normal = F.when(path.rlike(r"(?:^|/)\.{0,2}(?:/|\z)|\\"), written).otherwise(path)
+    if root is None:
+        return normal
+    base = "/" + "/".join(p for p in root.split("/") if p not in ("", ".")) + "/"
+    return F.when(normal.startswith(base), F.substring(normal, F.lit(len(base) + 1), F.length(normal))).otherwise(normal)
+
+
+def is_outside(file: Column) -> Column:
+    """True for a normalized path that climbs out of its repo."""
+    return (file == "..") | file.startswith("../")
+
 
+def _keyed(findings: DataFrame, root: str | None) -> DataFrame:
+    return findings.withColumn("file", normalized_path(F.col("path"), root))
 
-def static_by_file(findings: DataFrame) -> DataFrame:
-    """Static findings per file: how many, and how many weigh on the score."""
+
+def static_by_file(findings: DataFrame, root: str | None = None) -> DataFrame:
+    """Static findings per file of the repo: how many, and how many weigh on the score."""
     # Counted per written path first: each spelling is normalized once, not once per finding.
     per_path = findings.groupBy("repo_id", "path").agg(
         F.count(F.lit(1)).alias("n"), F.count_if(F.col("severity").isin("ERROR", "WARNING")).alias("serious")
     )
     return (
-        per_path.withColumn("file", normalized_path(F.col("path")))
+        _keyed(per_path, root)
+        .where(~is_outside(F.col("file")))
         .groupBy("repo_id", "file")
         .agg(F.sum("n").alias("static_findings"), F.sum("serious").alias("static_serious"))
     )
 
 
+def static_outside(findings: DataFrame, root: str | None = None) -> DataFrame:
+    """Per repo, the static findings on paths that climb out of it; they concern no file of it."""
+    per_path = findings.groupBy("repo_id", "path").agg(F.count(F.lit(1)).alias("n"))
+    return _keyed(per_path, root).where(is_outside(F.col("file"))).groupBy("repo_id").agg(F.sum("n").alias("outside_findings"))
+
+
+def static_in_tool_files(findings: DataFrame, tools: DataFrame, root: str | None = None) -> DataFrame:
+    """The static findings on files that hold tools, one row each: line, message and severity."""
+    held = tools.select("repo_id", normalized_path(F.col("file")).alias("file")).distinct()
+    return (
+        _keyed(findings, root)
+        .join(held, ["repo_id", "file"], "left_semi")
+        .select(
+            "repo_id", "file", F.coalesce(F.col("line").cast("string"), F.lit("?")).alias("line"),
+            F.coalesce("message", F.lit("No message")).alias("message"), F.coalesce("severity", F.lit("INFO")).alias("severity"),
+        )
+    )
+
+
 def attach_static(tools: DataFrame, findings: DataFrame) -> DataFrame:
     """Add the counts of ``static_by_file``; the findings themselves stay keyed by file."""
     per_file = static_by_file(findings).withColumnRenamed("file", "__file")

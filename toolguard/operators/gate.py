@@ -113,6 +113,45 @@ def evaluate(found: DataFrame, thresholds: dict[str, str]) -> DataFrame:
     )
 
 
+def failures(
+    report: DataFrame, secrets: DataFrame, vulnerable: DataFrame, typosquats: DataFrame, thresholds: dict[str, str]
+) -> DataFrame:
+    """What fails the gates, one row an item: ``repo_id, category, item, severity, threshold``.
+
+    A package fails once a requirement line, at its worst severity; a tool by its worst finding.
+    """
+    limits = {**rules.EVALUATOR_DEFAULTS, **thresholds}
+
+    def rows(df: DataFrame, category: str, limit: str, item: Column, severity: Column) -> DataFrame:
+        return df.select(
+            "repo_id", F.lit(category).alias("category"), item.alias("item"), severity.alias("severity"), F.lit(limits[limit]).alias("threshold")
+        )
+
+    confidence = F.coalesce("confidence", F.lit("LOW"))
+    leaked = secrets.where(meets(confidence, limits["secret"]))
+    severity = F.coalesce("severity", F.lit("MEDIUM"))
+    worst = (
+        vulnerable.groupBy("repo_id", "line_no", "package", "version")
+        .agg(F.max(F.struct(rank(severity).alias("rank"), severity.alias("severity"))).alias("worst"))
+        .where(F.col("worst.rank") >= rules.SEVERITY_RANK.get(limits["dependency"], 0))
+    )
+    squats = typosquats.where(meets(F.lit("MEDIUM"), limits["typosquat"]))
+    injected = F.array_max(F.transform("injection_findings", lambda f: F.struct(rank(f["severity"]).alias("rank"), f["severity"].alias("severity"))))
+    shadowed = (F.col("shadowing_count") > 0) & meets(F.lit("HIGH"), limits["shadowing"])
+    by_injection = F.coalesce(injected["rank"], F.lit(0)) >= rules.SEVERITY_RANK.get(limits["injection"], 0)
+    by_injection = by_injection & (F.size("injection_findings") > 0)
+    tool_severity = (
+        F.when(meets(F.col("score"), limits["tool"]), F.col("score")).when(by_injection, injected["severity"]).when(shadowed, "HIGH")
+    )
+    place = F.concat_ws(":", "file", F.col("seq").cast("string"), "name")
+    return (
+        rows(leaked, "secrets", "secret", F.concat_ws(":", "file", F.col("ord").cast("string"), "type"), confidence)
+        .unionByName(rows(worst, "dependencies", "dependency", F.concat(F.col("package"), F.lit("=="), F.col("version")), F.col("worst.severity")))
+        .unionByName(rows(squats, "typosquats", "typosquat", F.col("package"), F.lit("MEDIUM")))
+        .unionByName(rows(report, "tools", "tool", place, tool_severity).where(F.col("severity").isNotNull()))
+    )
+
+
 def decisions(evaluated: DataFrame, fail_on: str = "RED") -> DataFrame:
     """One row per repo: do all categories pass, does the build fail, and why."""
     legacy = lookup(F.col("overall_score"), rules.OVERALL_RANK, 0) >= rules.OVERALL_FAIL_RANK[fail_on]

@@ -435,6 +435,30 @@ def gate(levels: dict, source: str | None = None) -> str:
     ) + ")"
 
 
+def gate_failures(levels: dict) -> str:
+    rank = rules.SEVERITY_RANK
+    ranked = table_case("severity", dict(rank), "2")
+    tool = (
+        f"CASE WHEN {table_case('score', {'RED': 4, 'YELLOW': 2}, '0')} >= {rank.get(levels['tool'], 0)} THEN score "
+        f"WHEN worst_injection > 0 AND worst_injection >= {rank[levels['injection']]} THEN {table_case('worst_injection', {v: k for k, v in rank.items() if k in ('CRITICAL', 'HIGH', 'MEDIUM', 'LOW')})} "
+        f"WHEN {'shadowing_count > 0' if rank['HIGH'] >= rank[levels['shadowing']] else 'false'} THEN 'HIGH' END"
+    )
+    squats = "true" if rank["MEDIUM"] >= rank[levels["typosquat"]] else "false"
+    return f"""SELECT repo_id, 'secrets' AS category, path || ':' || ord || ':' || type AS item, confidence AS severity, {q(levels['secret'])} AS threshold FROM file_secrets_v
+WHERE {table_case('confidence', dict(rank), '0')} >= {rank[levels['secret']]}
+UNION ALL SELECT repo_id, 'dependencies', package || '==' || version, severity, {q(levels['dependency'])} FROM (SELECT repo_id, line_no, package, version,
+arg_max(coalesce(severity, 'MEDIUM'), ({ranked}) * 1000 + ascii(coalesce(severity, 'MEDIUM'))) AS severity, max({ranked}) AS r FROM vulnerable_v GROUP BY ALL) WHERE r >= {rank[levels['dependency']]}
+UNION ALL SELECT repo_id, 'typosquats', package, 'MEDIUM', {q(levels['typosquat'])} FROM squats_v WHERE {squats}
+UNION ALL SELECT * FROM (SELECT repo_id, 'tools', file || ':' || seq || ':' || name, {tool} AS severity, {q(levels['tool'])} FROM report_v) WHERE severity IS NOT NULL"""
+
+
+def repo_guidance() -> str:
+    finding = {k: t for (kd, k), t in GUIDANCE.items() if kd == "finding"}
+    impact, prevention = (table_case("about", {k: t[part] for k, t in finding.items()}) for part in (0, 1))
+    return f"""SELECT repo_id, about, item, {impact} AS impact, {prevention} AS prevention FROM (SELECT repo_id, 'secret' AS about, path AS item FROM file_secrets_v
+UNION ALL SELECT repo_id, 'dependency', vuln_id FROM vulnerable_v UNION ALL SELECT repo_id, 'typosquat', package FROM squats_v)"""
+
+
 def guidance() -> str:
     def texts_of(kind: str, part: int) -> dict:
         return {k: t[part] for (kd, k), t in GUIDANCE.items() if kd == kind}
@@ -545,7 +569,7 @@ def statements() -> dict[str, str]:
         "shadowing_findings": "SELECT *, NULL AS referenced_tool FROM duplicate_findings_v UNION ALL SELECT repo_id, tool, type, detail, confidence, severity, matched_text, referenced_tool FROM redirect_v",
         "shadowing_by_name": "SELECT * FROM by_name_v",
         "snippet_flags": f"SELECT {key}, {joined(flags('c', rules.PYTHON_BEHAVIOR))} AS python_flags, {joined(flags('c', rules.JS_BEHAVIOR))} AS js_flags, {joined(flags('c', both()))} AS either_flags FROM (SELECT *, coalesce(code_snippet, '') AS c FROM tools_v)",
-        "file_behavior": f"SELECT * FROM (SELECT repo_id, path, {joined(file_flags)} AS flags FROM files_v) WHERE flags <> ''",
+        "file_behavior": f"SELECT * FROM (SELECT repo_id, path, {joined(file_flags)} AS flags FROM sources_v WHERE kind = 'script' OR NOT list_has_any(string_split(lower(path), '/'), ['.next', 'coverage'])) WHERE flags <> ''",
         "tool_behavior": f"SELECT {key}, language, {joined('actual_behavior')} AS actual_behavior, {joined('mismatches')} AS mismatches, {joined('list_sort(list_distinct(list_transform(mismatches, lambda m: ' + table_case('m', rules.MISMATCH_SEVERITY) + ')))')} AS mismatch_severities FROM behavior_v",
         "declared_capabilities": f"SELECT {key}, {joined('declared')} AS declared FROM sets_v",
         "permission_matrix": f"SELECT {key}, {joined('list_sort(declared)')} AS declared, {joined('list_sort(actual)')} AS actual, {joined('undisclosed')} AS undisclosed_actual, {joined('extra')} AS extra_declared, {joined('CASE WHEN len(declared) = 0 AND len(actual) > 1 THEN list_sort(actual) ELSE [] END')} AS excessive, CAST(len(list_distinct(list_concat(actual, declared))) AS INTEGER) AS permission_count, len(undisclosed) > 0 AS has_undisclosed, len(extra) > 0 AS has_extra_declared, permission_severity FROM matrix_v",
@@ -560,7 +584,7 @@ def statements() -> dict[str, str]:
         "first_requirements": "SELECT repo_id, line_no, package, version FROM (SELECT *, row_number() OVER (PARTITION BY repo_id ORDER BY line_no) AS n FROM pins_v) WHERE n <= 2",
         "typosquats": "SELECT * FROM squats_v",
         "vulnerable_packages": "SELECT * FROM vulnerable_v",
-        "dependency_summary": "SELECT repo_id, coalesce(checked, 0) AS checked, coalesce(vulnerable_packages, 0) AS vulnerable_packages, coalesce(vulnerabilities, 0) AS vulnerabilities, CAST(0 AS BIGINT) AS skipped_unpinned FROM repos_v LEFT JOIN (SELECT repo_id, count(*) AS checked FROM pins_v GROUP BY ALL) USING (repo_id) LEFT JOIN (SELECT repo_id, count(DISTINCT line_no) AS vulnerable_packages, count(*) AS vulnerabilities FROM vulnerable_v GROUP BY ALL) USING (repo_id)",
+        "dependency_summary": "SELECT repo_id, repo_id IN (SELECT repo_id FROM requirement_files_v) AS requirements_found, coalesce(checked, 0) AS checked, coalesce(vulnerable_packages, 0) AS vulnerable_packages, coalesce(vulnerabilities, 0) AS vulnerabilities, CAST(0 AS BIGINT) AS skipped_unpinned FROM repos_v LEFT JOIN (SELECT repo_id, count(*) AS checked FROM pins_v GROUP BY ALL) USING (repo_id) LEFT JOIN (SELECT repo_id, count(DISTINCT line_no) AS vulnerable_packages, count(*) AS vulnerabilities FROM vulnerable_v GROUP BY ALL) USING (repo_id)",
         "secrets_in_documents": secrets("documents", "text", "doc_id"),
         "secrets_in_pages": secrets("pages", "html", "page_id"),
         "secrets_in_files": "SELECT * RENAME (path AS file) FROM file_secrets_v",
@@ -568,6 +592,9 @@ def statements() -> dict[str, str]:
         "latest_scores": "SELECT * FROM latest_v",
         "score_lookup": "SELECT c_custkey, 'github.com/org/repo' || c_custkey AS repo_key, coalesce(score, 'UNKNOWN') AS score, scanned_at FROM customer LEFT JOIN latest_v ON repo_key = 'github.com/org/repo' || c_custkey",
         "badges": f"SELECT repo_key, score, message, color, {width(q('tool security'))} AS label_width, {width('message')} AS message_width, CAST({width(q('tool security'))} + {width('message')} AS INTEGER) AS total_width FROM (SELECT *, {table_case('score', rules.BADGE_LABELS, q('unknown'))} AS message, {table_case('score', rules.BADGE_COLORS, q('#9f9f9f'))} AS color FROM latest_v)",
+        "static_findings_by_tool_file": f"SELECT repo_id, file, CAST(l_linenumber AS VARCHAR) AS line, 'ships ' || l_linestatus AS message, coalesce({table_case('l_returnflag', seeds.STATIC_SEVERITY)}, 'INFO') AS severity FROM (SELECT *, 'src' || (l_suppkey % 20) AS repo_id, 'src/f' || (l_partkey % 2000) || CASE WHEN l_linenumber % 2 = 0 THEN '.py' ELSE '.ts' END AS file FROM lineitem) SEMI JOIN tools_v USING (repo_id, file)",
+        "gate_failures": gate_failures(rules.PRESETS["default"]),
+        "repo_guidance": repo_guidance(),
         "static_findings_by_file": "SELECT * FROM static_v",
         "tool_report": f"SELECT {report_columns} FROM report_v",
         "reviewed_mismatches": f"SELECT {key}, {joined('mismatches')} AS mismatches, score FROM ({report('reviewed_v')})",

@@ -273,6 +273,11 @@ def _pins(spark, folder) -> DataFrame:
     return requirements.parse_requirements(views.requirement_files(spark, folder))
 
 
+def _pins_once(spark, folder) -> DataFrame:
+    # For queries that read them more than once.
+    return materialize(_pins(spark, folder))
+
+
 @query
 def pinned_requirements(spark, folder):
     return _pins(spark, folder)
@@ -288,18 +293,21 @@ def typosquats(spark, folder):
     return packages.typosquats(_pins(spark, folder))
 
 
-def _vulnerable(spark, folder) -> DataFrame:
-    return packages.vulnerabilities(_pins(spark, folder), views.advisories(spark, folder))
+def _vulnerable(spark, folder, pins: DataFrame) -> DataFrame:
+    return packages.vulnerabilities(pins, views.advisories(spark, folder))
 
 
 @query
 def vulnerable_packages(spark, folder):
-    return _vulnerable(spark, folder)
+    return _vulnerable(spark, folder, _pins_once(spark, folder))
 
 
 @query
 def dependency_summary(spark, folder):
-    return packages.dependency_summary(views.repos(spark, folder), _pins(spark, folder), _vulnerable(spark, folder))
+    pins = _pins_once(spark, folder)
+    return packages.dependency_summary(
+        views.repos(spark, folder), pins, _vulnerable(spark, folder, pins), views.requirement_files(spark, folder)
+    )
 
 
 @query
@@ -354,6 +362,11 @@ def static_findings_by_file(spark, folder):
     return attach.static_by_file(views.static_findings(spark, folder))
 
 
+@query
+def static_findings_by_tool_file(spark, folder):
+    return attach.static_in_tool_files(views.static_findings(spark, folder), views.tools(spark, folder))
+
+
 def _report(spark, folder, reviewed: bool = False) -> DataFrame:
     verdicts = views.verdicts(spark, folder) if reviewed else None
     # Read by several branches of the report: computed once.
@@ -419,11 +432,30 @@ def scan_counts(spark, folder):
 
 
 def _found(spark, folder, levels: dict) -> DataFrame:
-    files_with_text = views.source_files(spark, folder)
-    return gate.findings_per_repo(
-        views.repos(spark, folder), _report(spark, folder), secrets.scan_files(files_with_text),
-        _vulnerable(spark, folder), packages.typosquats(_pins(spark, folder)), levels,
-    )
+    return gate.findings_per_repo(views.repos(spark, folder), *_gated(spark, folder), levels)
+
+
+def _gated(spark, folder) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """What gates look at: the report, secrets, vulnerable and look-alike packages."""
+    pins = _pins_once(spark, folder)
+    leaked = secrets.scan_files(views.source_files(spark, folder))
+    return _report(spark, folder), leaked, _vulnerable(spark, folder, pins), packages.typosquats(pins)
+
+
+@query
+def gate_failures(spark, folder):
+    return gate.failures(*_gated(spark, folder), rules.PRESETS["default"])
+
+
+@query
+def repo_guidance(spark, folder):
+    """Guidance for what concerns a repo rather than a tool."""
+    pins = _pins_once(spark, folder)
+    leaked = secrets.scan_files(views.source_files(spark, folder)).select("repo_id", F.lit("secret").alias("about"), F.col("file").alias("item"))
+    weak = _vulnerable(spark, folder, pins).select("repo_id", F.lit("dependency").alias("about"), F.col("vuln_id").alias("item"))
+    alike = packages.typosquats(pins).select("repo_id", F.lit("typosquat").alias("about"), F.col("package").alias("item"))
+    found = leaked.unionByName(weak).unionByName(alike).withColumn("g", guidance.finding_guidance_by(F.col("about")))
+    return found.select("repo_id", "about", "item", "g.impact", "g.prevention")
 
 
 @query
