@@ -2,38 +2,53 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import pyarrow as pa
 
 from toolguard.functions import js_tools, python_tools
 
+TOOLS = pa.list_(
+    pa.struct([("seq", pa.int64()), ("name", pa.string()), ("description", pa.string()), ("code_snippet", pa.string())])
+)
+# Characters of parsed contents that a task remembers the tools of.
+REMEMBERED = 64 << 20
+
 
 def _encodable(text: str | None) -> str | None:
     """Text without lone surrogates, which no column can hold."""
     return None if text is None else text.encode("utf-8", "replace").decode("utf-8")
 
 
-def parse_batches(batches: Iterator) -> Iterator:
-    """Arrow batches of distinct contents to Arrow batches of their tools."""
-    strings = pa.string()
-    schema = pa.schema(
-        [
-            ("language", strings), ("sha", strings), ("file_flags", pa.list_(strings)), ("seq", pa.int64()),
-            ("name", strings), ("description", strings), ("code_snippet", strings),
-        ]
-    )
+def tools_of(language: str, content: str) -> list[dict]:
+    parse = js_tools.tools_in if language == "JS/TS" else python_tools.tools_in
+    return [
+        {"seq": seq, "name": _encodable(name), "description": _encodable(description), "code_snippet": _encodable(snippet)}
+        for seq, (name, description, snippet) in enumerate(parse(content))
+    ]
+
+
+def parse_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches whose last column, ``content``, becomes the array ``tools``; the others stay.
+
+    Copies within a task are parsed once.  A row without content has no tools.
+    """
+    known: dict[tuple, list[dict]] = {}
+    held = 0
     for batch in batches:
-        columns = {n: [] for n in schema.names}
-        for language, sha, content, flags in zip(
-            *(batch.column(n) for n in ("language", "sha", "content", "file_flags"))
-        ):
-            parse = js_tools.tools_in if language.as_py() == "JS/TS" else python_tools.tools_in
-            for seq, (name, description, snippet) in enumerate(parse(content.as_py())):
-                row = (
-                    language.as_py(), sha.as_py(), flags.as_py(), seq,
-                    _encodable(name), _encodable(description), _encodable(snippet),
-                )
-                for column, value in zip(columns.values(), row):
-                    column.append(value)
-        yield pa.RecordBatch.from_pydict(columns, schema=schema)
+        found = []
+        languages, contents = (batch.column(batch.schema.get_field_index(n)) for n in ("language", "content"))
+        for language, content in zip(languages, contents, strict=True):
+            text = content.as_py()
+            if text is None:
+                found.append(None)
+                continue
+            key = language.as_py(), hashlib.sha256(text.encode("utf-8", "surrogatepass")).digest()
+            if key not in known:
+                held += len(text)
+                if held > REMEMBERED:
+                    known, held = {}, len(text)
+                known[key] = tools_of(key[0], text)
+            found.append(known[key])
+        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(found, TOOLS)], [*batch.schema.names[:-1], "tools"])

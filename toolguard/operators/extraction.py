@@ -1,50 +1,56 @@
-"""Files to tools: each distinct content is parsed once, wherever it occurs."""
+"""Files to tools, where the files lie: one pass, without a shuffle."""
 
 from __future__ import annotations
 
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
-import toolguard
-from toolguard import rules
+from toolguard import functions, rules
 from toolguard.functions import capabilities as caps
 from toolguard.functions import regex
 from toolguard.functions.parsing import parse_batches
-from toolguard.scale import salted_join
+from toolguard.scale import unnest
 
-# The parsing helpers travel with the job, so executors need nothing installed.
-cloudpickle.register_pickle_by_value(toolguard)
-
-PARSED = (
-    "language string, sha string, file_flags array<string>, seq bigint, name string, "
-    "description string, code_snippet string"
-)
+TOOL = StructType([StructField("seq", LongType()), *(StructField(n, StringType()) for n in ("name", "description", "code_snippet"))])
 # A Python file can only yield a tool if one of these words occurs in it.
 # Identifiers may also be spelled in compatibility characters, hence non-ASCII.
 PYTHON_HINT = r"[Tt]ool|app|router|[^\x00-\x7f]"
 
 
-def candidates(sources: DataFrame) -> DataFrame:
-    """Files that can hold tools, by a test that never drops one that does."""
-    content = F.col("content")
+def can_hold_tools(language: Column, content: Column) -> Column:
+    """A test that never drops a file that holds a tool."""
     js = regex.contains_any(content, list(rules.JS_MARKS))
-    return sources.where(F.when(F.col("language") == "JS/TS", js).otherwise(content.rlike(PYTHON_HINT)))
+    return F.when(language == "JS/TS", js).otherwise(content.rlike(PYTHON_HINT))
 
 
-def extract_tools(sources: DataFrame) -> DataFrame:
-    """Tools of every file, with the behavior flags of the file as ``file_flags``.
+def with_tools(files: DataFrame) -> DataFrame:
+    """``files`` (language, ..., content) with ``tools`` in the place of ``content``, their last column.
 
-    Parsing is far slower than moving text, and vendored files repeat: so each
-    distinct content is parsed once.  Copies meet in the first aggregation, of
-    which every task forwards one row per content, and get their tools back by
-    hash, with widespread contents salted.  Contents pass that one shuffle only.
+    Each file is parsed where it lies.  Moving texts together would save parsing copies that
+    different tasks hold, at the price of shuffling all source text; copies
+    within a task are parsed once.  The parsing helpers travel with the job.
     """
-    hashed = candidates(sources).withColumn("sha", F.sha2("content", 256))
-    distinct = hashed.groupBy("language", "sha").agg(F.first("content").alias("content"))
-    flags = caps.flags_by_language(F.col("content"), F.col("language") == "JS/TS")
-    parsed = distinct.select("language", "sha", "content", flags.alias("file_flags")).mapInArrow(parse_batches, PARSED)
-    places = hashed.select("repo_id", F.col("path").alias("file"), "language", "sha")
-    return salted_join(places, parsed, ["language", "sha"], "inner", spread=["repo_id", "file"]).select(
-        "repo_id", "file", "language", "seq", "name", "description", "code_snippet", "file_flags"
+    schema = StructType([*(f for f in files.schema if f.name != "content"), StructField("tools", ArrayType(TOOL))])
+    cloudpickle.register_pickle_by_value(functions)
+    try:
+        return files.mapInArrow(parse_batches, schema)
+    finally:
+        cloudpickle.unregister_pickle_by_value(functions)
+
+
+def extract_tools(sources: DataFrame) -> DataFrame:
+    """Tools of every file, with the behavior flags of the file as ``file_flags``."""
+    content, language = F.col("content"), F.col("language")
+    flags = caps.flags_by_language(content, language == "JS/TS")
+    chosen = sources.where(can_hold_tools(language, content))
+    parsed = with_tools(chosen.select("repo_id", F.col("path").alias("file"), "language", flags.alias("file_flags"), "content"))
+    return tool_rows(parsed)
+
+
+def tool_rows(parsed: DataFrame) -> DataFrame:
+    """One row per tool of files with ``tools``."""
+    return unnest(parsed, ["repo_id", "file", "language", "file_flags"], F.col("tools"), "t").select(
+        "repo_id", "file", "language", "t.seq", "t.name", "t.description", "t.code_snippet", "file_flags"
     )

@@ -5,16 +5,18 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
+from toolguard.functions import capabilities as caps
 from toolguard.operators import extraction, gate, packages, report, secrets
-from toolguard.scale import materialize
+from toolguard.scale import materialize, unnest
 from toolguard.sources import files as sources
 from toolguard.sources import requirements
 
 
 @dataclass(frozen=True)
 class Scan:
-    """The tables that one scan of a corpus yields; all but ``tools`` and ``report`` are lazy."""
+    """The tables that one scan of a corpus yields; all but ``report`` are lazy."""
 
     repos: DataFrame
     tools: DataFrame
@@ -38,29 +40,40 @@ class Scan:
         return gate.decisions(self.gates({**thresholds, "overall": fail_on}), fail_on)
 
 
-def scan_corpus(
-    files: DataFrame,
-    advisories: DataFrame,
-    static_findings: DataFrame,
-    verdicts: DataFrame | None = None,
-) -> Scan:
-    """Scan ``files(repo_id, path, content)`` of any number of repositories.
+def scan_files(files: DataFrame) -> DataFrame:
+    """All that one pass over ``files(repo_id, path, content)`` finds, a row per file and without the contents.
 
-    Extraction is the one step that runs Python, and several steps read its
-    result, so tools are computed once into the shared folder; so is the report.
+    The table is written: tools, secrets, requirements and counts come from it by
+    column, so the source text is read once and never shuffled.
     """
-    chosen = sources.tool_sources(files)
-    languages = sources.language_counts(chosen)
-    tools = materialize(extraction.extract_tools(chosen))
-    # Four steps read the requirements: they are parsed once.
-    pinned = materialize(requirements.parse_requirements(requirements.requirement_files(files)))
+    path, content = F.col("path"), F.col("content")
+    scanned = sources.is_python_source(path) | sources.is_js_source(path)
+    language = F.when(scanned, caps.language(path))
+    parsed = F.col("language").isNotNull() & extraction.can_hold_tools(F.col("language"), content)
+    prepared = files.select("repo_id", path.alias("file"), language.alias("language"), "content", "path").select(
+        "repo_id", "file", "language",
+        F.when(parsed, caps.flags_by_language(content, F.col("language") == "JS/TS")).alias("file_flags"),
+        secrets.found_in(content).alias("secrets"),
+        F.when(path == "requirements.txt", requirements.pins(content)).alias("pins"),
+        F.when(parsed, content).alias("content"),
+    )
+    return materialize(extraction.with_tools(prepared))
+
+
+def scan_corpus(
+    files: DataFrame, advisories: DataFrame, static_findings: DataFrame, verdicts: DataFrame | None = None
+) -> Scan:
+    """Scan ``files(repo_id, path, content)`` of any number of repositories."""
+    scanned = scan_files(files)
+    tools = extraction.tool_rows(scanned)
+    pinned = unnest(scanned, ["repo_id"], F.col("pins"), "p").select("repo_id", "p.*")
     return Scan(
-        repos=files.select("repo_id").distinct(),
+        repos=scanned.select("repo_id").distinct(),
         tools=tools,
         report=materialize(report.tool_report(tools, static_findings, verdicts)),
-        secrets=secrets.scan_files(files),
+        secrets=secrets.as_rows(scanned, ["repo_id", "file"], F.col("secrets")),
         requirements=pinned,
         vulnerable=packages.vulnerabilities(pinned, advisories),
         typosquats=packages.typosquats(pinned),
-        languages=languages,
+        languages=sources.language_counts(scanned.where(F.col("language").isNotNull())),
     )
