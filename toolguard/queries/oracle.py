@@ -586,7 +586,14 @@ def statements() -> dict[str, str]:
         "vulnerable_packages": "SELECT * FROM vulnerable_v",
         "dependency_summary": "SELECT repo_id, repo_id IN (SELECT repo_id FROM requirement_files_v) AS requirements_found, coalesce(checked, 0) AS checked, coalesce(vulnerable_packages, 0) AS vulnerable_packages, coalesce(vulnerabilities, 0) AS vulnerabilities, CAST(0 AS BIGINT) AS skipped_unpinned FROM repos_v LEFT JOIN (SELECT repo_id, count(*) AS checked FROM pins_v GROUP BY ALL) USING (repo_id) LEFT JOIN (SELECT repo_id, count(DISTINCT line_no) AS vulnerable_packages, count(*) AS vulnerabilities FROM vulnerable_v GROUP BY ALL) USING (repo_id)",
         "secrets_in_documents": secrets("documents", "text", "doc_id"),
-        "secrets_in_pages": secrets("pages", "html", "page_id"),
+        "secrets_in_pages": secrets(f"(SELECT page_id, html || CASE WHEN page_id % 10 = 3 THEN {q(seeds.PAGE_SECRET)} || page_id || '''</script>' ELSE '' END AS html FROM pages)", "html", "page_id"),
+        "calls_read_back": "SELECT tool_name, call_id, action, rule, logged_arguments FROM decisions_v",
+        "policy_read_back": f"SELECT event_id, action, rule, reason, severity FROM ({custom()})",
+        "report_read_back": "SELECT repo_id, file, seq, risk_level, score FROM report_v",
+        "analyzer_findings": """SELECT 'repo' AS repo_id, file, count(*) AS static_findings, count(*) FILTER (n % 3 <> 0) AS static_serious FROM (SELECT n,
+CASE n % 4 WHEN 0 THEN '' WHEN 1 THEN '' WHEN 2 THEN '../' ELSE '/scan/other/' END || CASE WHEN n % 5 <> 4 THEN 'f' || p || '.py' ELSE 'x/y.py' END AS file
+FROM (SELECT l_linenumber AS n, l_partkey % 50 AS p FROM lineitem)) WHERE NOT starts_with(file, '../') GROUP BY ALL""",
+        "source_trees": "SELECT 'source=' || source AS repo_id, CAST(sum(length(text) + 1) AS BIGINT) AS characters FROM documents GROUP BY ALL",
         "secrets_in_files": "SELECT * RENAME (path AS file) FROM file_secrets_v",
         "repository_urls": f"SELECT page_id, normalized, coalesce(regexp_matches(normalized, '^https://github\\.com/[\\p{{L}}\\p{{N}}_.-]+/[\\p{{L}}\\p{{N}}_.-]+(?:\\.git)?/?$'), false) AS valid, {KEY} AS repo_key FROM normal_urls_v",
         "latest_scores": "SELECT * FROM latest_v",

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -18,8 +17,8 @@ from toolguard.operators import (
 )
 from toolguard.plans import scan
 from toolguard.queries import views
-from toolguard.scale import checkpoint_folder, materialize, unnest
-from toolguard.sources import files, requirements
+from toolguard.scale import materialize, scratch, unnest
+from toolguard.sources import files, requirements, tables
 from toolguard.streaming import calls as call_streams
 from toolguard.streaming import scans as scan_streams
 
@@ -317,7 +316,7 @@ def secrets_in_documents(spark, folder):
 
 @query
 def secrets_in_pages(spark, folder):
-    return secrets.scan(views.spread(spark, folder, "pages", "page_id", "html"), "html", ["page_id"])
+    return secrets.scan(views.pages(spark, folder), "html", ["page_id"])
 
 
 @query
@@ -542,9 +541,63 @@ def corpus_builds(spark, folder):
     return _corpus(spark, folder).builds(rules.PRESETS["default"], "RED")
 
 
+# ----------------------------------------------------- through files and back
+@query
+def calls_read_back(spark, folder):
+    """Calls written as JSON, read as a call file and decided."""
+    path = scratch(spark, "calls")
+    views.calls(spark, folder).drop("event_id").write.json(path, timestampFormat="yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
+    decided = policy.decide(tables.read_calls(spark, path, multiline=False), policy.default_policy())
+    return decided.select("tool_name", "call_id", "action", "rule", "logged_arguments")
+
+
+@query
+def policy_read_back(spark, folder):
+    """The custom policy written as JSON, read again and applied."""
+    path = scratch(spark, "policy")
+    spark.createDataFrame([(tables.policy_json(custom_policy()),)], "value string").coalesce(1).write.text(path)
+    decided = policy.decide(views.calls(spark, folder), tables.read_policy(spark, path))
+    return decided.select("event_id", "action", "rule", "reason", "severity")
+
+
+@query
+def report_read_back(spark, folder):
+    path = scratch(spark, "report")
+    tables.write_report(_report(spark, folder), path, "json", buckets=8)
+    return spark.read.schema("repo_id string, file string, seq bigint, risk_level string, score string").json(path).select(
+        "repo_id", "file", "seq", "risk_level", "score"
+    )
+
+
+@query
+def analyzer_findings(spark, folder):
+    """Line items as analyzer output: absolute, relative and climbing paths, missing fields."""
+    path = scratch(spark, "analyzer")
+    n, file = F.col("l_linenumber"), F.concat(F.lit("f"), (F.col("l_partkey") % 50).cast("string"), F.lit(".py"))
+    before = views.pick(n, [F.lit("/scan/repo/"), F.lit("./lib/../"), F.lit("../"), F.lit("/scan/other/")])
+    finding = F.struct(
+        F.concat(before, F.when(n % 5 != 4, file).otherwise(F.lit("x//y.py"))).alias("path"),
+        F.when(n % 2 == 0, F.struct(n.alias("line"))).alias("start"),
+        F.when(n % 3 != 0, F.struct(F.lit("m").alias("message"), F.lit("ERROR").alias("severity"))).alias("extra"),
+    )
+    items = views.table(spark, folder, "lineitem")
+    items.select(F.array(finding, F.struct(F.lit("").alias("path"), finding["start"].alias("start"), finding["extra"].alias("extra"))).alias("results")).write.json(path)
+    return attach.static_by_file(tables.read_static_findings(spark, path, "repo", multiline=False), root="/scan/repo")
+
+
+@query
+def source_trees(spark, folder):
+    """Documents written as a tree of files below a folder per source, read as source files."""
+    path = scratch(spark, "trees")
+    documents = views.table(spark, folder, "documents")
+    documents.select("source", F.col("text").alias("value")).write.partitionBy("source").text(path)
+    found = files.read_source_files(spark, path)
+    return found.groupBy("repo_id").agg(F.sum(F.length("content")).alias("characters"))
+
+
 # -------------------------------------------------------------------- streaming
 def _scratch(spark: SparkSession, name: str) -> str:
-    return f"{checkpoint_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    return scratch(spark, name)
 
 
 def _run(writer) -> None:

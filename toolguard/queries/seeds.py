@@ -151,3 +151,6 @@ SCAN_URLS = [
 ]
 SCORE_BY_STATUS = {"O": "GREEN", "P": "YELLOW", "F": "RED"}
 STATIC_SEVERITY = {"A": "ERROR", "N": "INFO", "R": "WARNING"}
+
+# What some pages end with, before their number.
+PAGE_SECRET = "<script>var api_key = 'Qm3xT7vLk9ZpR2wYb6Nc"

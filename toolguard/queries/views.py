@@ -255,3 +255,10 @@ def urls(spark: SparkSession, folder: str) -> DataFrame:
     """A repository URL per page, in many spellings."""
     k = F.col("page_id")
     return table(spark, folder, "pages").select("page_id", _texts(k, seeds.URLS, k=k, url=F.col("url")).alias("url"))
+
+
+def pages(spark: SparkSession, folder: str) -> DataFrame:
+    """All pages with their whole text; some end with an assignment of a secret."""
+    k = F.col("page_id")
+    leak = F.when(k % 10 == 3, F.concat(F.lit(seeds.PAGE_SECRET), k.cast("string"), F.lit("'</script>"))).otherwise("")
+    return spread(spark, folder, "pages", "page_id", "html").select("page_id", F.concat("html", leak).alias("html"))

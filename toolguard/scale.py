@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
 from functools import reduce
@@ -40,11 +42,26 @@ def materialize(df: DataFrame) -> DataFrame:
     It cuts the lineage like a checkpoint, survives lost executors, and each
     branch reads just the columns that it needs, which a checkpoint cannot do.
     """
-    path = f"{checkpoint_folder(df.sparkSession)}/tables/{uuid.uuid4().hex}"
+    path = scratch(df.sparkSession, "tables")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def scratch(spark: SparkSession, kind: str) -> str:
+    """A new path in the shared folder, removed when this program ends."""
+    path = f"{checkpoint_folder(spark)}/{kind}/{uuid.uuid4().hex}"
+    atexit.register(_remove, spark, path)
+    return path
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    """Best effort: a session that was stopped before leaves its folders."""
+    with contextlib.suppress(Exception):
+        context = spark.sparkContext
+        target = context._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(context._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def hot_keys(df: DataFrame, on: list[str], floor: int | None = None) -> DataFrame:
     """The largest keys of ``df``, from combinable counts."""
     return hottest(df.groupBy(*on).agg(F.count(F.lit(1)).alias("__rows")), "__rows", floor)

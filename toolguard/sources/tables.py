@@ -59,9 +59,12 @@ def policy_rules(spark: SparkSession, policy: dict) -> DataFrame:
 
 
 # ------------------------------------------------------------- static analysis
-def read_static_findings(spark: SparkSession, path: str, repo_id: str) -> DataFrame:
-    """Findings from an analyzer's JSON output; those without a path are dropped."""
-    found = spark.read.schema(schemas.ANALYZER_OUTPUT).option("multiLine", True).json(path)
+def read_static_findings(spark: SparkSession, path: str, repo_id: str, multiline: bool = True) -> DataFrame:
+    """Findings from an analyzer's JSON output, one document a file or one a line; those without a path are dropped.
+
+    Paths stay as written; ``attach.static_by_file`` and its kin take the root that they lie below.
+    """
+    found = spark.read.schema(schemas.ANALYZER_OUTPUT).option("multiLine", multiline).json(path)
     return static_findings(found.withColumn("repo_id", F.lit(repo_id)))
 
 
@@ -107,15 +110,17 @@ def append_audit(decisions: DataFrame, path: str) -> None:
 
 
 def stream_audit(decisions: DataFrame, path: str, checkpoint: str) -> DataStreamWriter:
-    """Append-only audit of a stream of decisions, exactly once per call."""
-    return (
-        audit_entries(decisions)
-        .writeStream.format("parquet")
-        .partitionBy("call_date")
-        .option("path", path)
-        .option("checkpointLocation", checkpoint)
-        .outputMode("append")
-    )
+    """Append-only audit of a stream of decisions, exactly once per call.
+
+    A batch is clustered by date first, so that it writes a file per date rather than one per task and
+    date; dates with many calls are cut. It overwrites its own folder if it is repeated.
+    """
+
+    def save(batch: DataFrame, batch_id: int) -> None:
+        rows = batch.hint("rebalance", "call_date")
+        rows.write.mode("overwrite").partitionBy("call_date").parquet(f"{path}/batch_id={batch_id}")
+
+    return audit_entries(decisions).writeStream.option("checkpointLocation", checkpoint).foreachBatch(save)
 
 
 def read_audit(spark: SparkSession, path: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from toolguard.operators.policy import decide
@@ -52,3 +52,8 @@ def latest_counts(changes: DataFrame) -> DataFrame:
         changes.groupBy("window_start", "window_end", "action")
         .agg(F.max_by("calls", "batch_id").alias("calls"))
     )
+
+
+def compact_counts(spark: SparkSession, path: str, target: str) -> None:
+    """Write the current counts of a long log of changes as a single batch of a new one."""
+    latest_counts(spark.read.parquet(path)).write.mode("overwrite").parquet(f"{target}/batch_id=0")
