@@ -5,6 +5,7 @@ import pytest
 from compare import connect, difference
 
 import __spark_entry__ as entry
+from toolguard import scale
 from toolguard.queries import oracle, registry
 
 FOLDER = "/root/testdata/sf0.001"
@@ -38,3 +39,10 @@ def test_seeds_reach_every_branch(spark):
     assert values("blast_radius", "label") == {"CRITICAL", "HIGH", "MEDIUM", "LOW"}
     assert values("gate_lenient", "passed") == {True, False}
     assert values("badges", "message") == {"passing", "warnings", "failing"}
+
+
+@pytest.mark.parametrize("name", ["tool_behavior", "duplicate_files", "vulnerable_packages", "tool_report", "corpus_report"])
+def test_hot_branches_give_the_same_rows(spark, monkeypatch, name):
+    monkeypatch.setattr(scale, "HOT_FLOOR", 1)  # every repeated key is salted
+    found = registry.QUERIES[name](spark, FOLDER).toPandas()
+    assert difference(found, connect(FOLDER).execute(STATEMENTS[name]).fetchdf()) is None
