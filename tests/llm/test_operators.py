@@ -381,9 +381,10 @@ def plain_contamination(rows, items, window=13):
 def test_decontamination(spark, short):
     passages = sentences(12, seed=31, words=40)
     items = [(i, p) for i, p in enumerate(passages) if short or len(p.split()) >= 13] + [(50, None), (51, "")]
+    items += [(70, "ΑΣ'α ΟΔΟΣ " + passages[4] + " Έ " + passages[5])]
     items += [(52, "One two"), (53, "abc"), (None, passages[0]), (1, passages[2]), (54, "a b c d e f g h i")] if short else [(60, passages[0] + " " + passages[1])]
     r = random.Random(2)
-    mixed = []
+    mixed = [(490, "x, ΑΣ α-ΟΔΟΣ. " + passages[4] + " Έ " + passages[5], "en", "s", 1), (491, "ασ α οδος " + passages[4], "en", "s", 1)]
     for i in range(40):
         w = passages[i % 12].upper().split()
         a = r.randint(0, max(0, len(w) - 14))

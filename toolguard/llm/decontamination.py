@@ -25,9 +25,14 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), F.lit(WORDS), F.lit(0))
 
 
+def loose(text: Column) -> Column:
+    """All letters in lower case, and one form of the letter whose form depends on what follows."""
+    return F.replace(F.lower(text), F.lit("\u03c2"), F.lit("\u03c3"))
+
+
 def loose_words(text: Column) -> Column:
-    """As many words, but all letters in lower case: quicker, and equal wherever the exact words are."""
-    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(WORDS), F.lit(0))
+    """As many words, but loose: quicker, and equal wherever the exact words are."""
+    return F.regexp_extract_all(loose(F.coalesce(text, F.lit(""))), F.lit(WORDS), F.lit(0))
 
 
 def keys(text: Column) -> list[Column]:
@@ -46,15 +51,14 @@ def sliding_least(of: Column, wide: int) -> Column:
     return F.transform(F.sequence(F.lit(1), F.size(of) - (wide - 1)), lambda at: F.array_min(F.slice(of, at, wide)))
 
 
-def surroundings(of: Column, k: int, ahead: int) -> Column:
-    """For each gram: where it starts, its loose hash, and the words from ``ahead`` before to ``ahead`` after it."""
+def surroundings(of: Column, at: Column, k: int, ahead: int) -> Column:
+    """For grams that start at ``at``: their start, and the words from ``ahead`` before to ``ahead`` after them."""
 
-    def one(at: Column) -> Column:
-        first = F.greatest(at - ahead, F.lit(1))
-        mark = F.xxhash64(F.lit(k), F.transform(F.slice(of, at, k), F.lower))
-        return F.struct(at.alias("at"), first.alias("first"), mark.alias("mark"), F.slice(of, first, at - first + k + ahead).alias("near"))
+    def one(place: Column) -> Column:
+        first = F.greatest(place - ahead, F.lit(1))
+        return F.struct(place.alias("at"), first.alias("first"), F.slice(of, first, place - first + k + ahead).alias("near"))
 
-    return F.transform(F.sequence(F.lit(1), F.size(of) - (k - 1)), one)
+    return F.transform(at, one)
 
 
 def plans(lengths: list[int], gram: int = GRAM) -> list[tuple[int, int]]:
@@ -110,13 +114,21 @@ def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, gram: int
         one.withColumnsRenamed({"k1": "c1", "k2": "c2"}),
         (F.col("k1") == F.col("c1")) & (F.col("k2") == F.col("c2")) & F.col("doc_id").eqNullSafe(F.col("id")),
     ).select("k1", "k2", words(F.col("text")).alias("w"))
+    # Read twice for each plan, and without the other texts.
+    chosen = materialize(chosen.select("k1", "k2", "w", F.size("w").alias("n")))
     hits = None
     for k, span in made:
         here = [n for n in lengths if n >= span and (n >= gram or n == k)]
         ahead = reach - k
+        long_enough = chosen.where(F.col("n") >= k)
+        loosened = long_enough.select("k1", "k2", F.transform("w", loose).alias("lw"))
+        grams = loosened.select("k1", "k2", F.posexplode(gram_hashes(F.col("lw"), k)).alias("at", "mark"))
+        # At most one place for each word of a text.
+        places = grams.join(marks, "mark").groupBy("k1", "k2").agg(F.collect_set(F.col("at") + 1).alias("places"))
         found = (
-            chosen.where(F.size("w") >= k).select("k1", "k2", F.size("w").alias("n"), F.explode(surroundings(F.col("w"), k, ahead)).alias("x"))
-            .select("k1", "k2", "n", "x.*").join(marks, "mark")
+            long_enough.join(places, ["k1", "k2"])
+            .select("k1", "k2", "n", F.explode(surroundings(F.col("w"), F.col("places"), k, ahead)).alias("x"))
+            .select("k1", "k2", "n", "x.*")
         )
         for length in here:
             # All windows of this length that hold the gram at ``at``.
