@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from toolguard.functions.constants import let
 from toolguard.scale import materialize
 
 WINDOW = 13
@@ -82,13 +83,15 @@ def winnow(df: DataFrame, of: str, made: list[tuple[int, int]]) -> DataFrame:
 
 def windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """(window, length, item_id): each different window of each item; a shorter item is one window."""
-    split = benchmark.select("item_id", words(F.col("text")).alias("w")).where(F.size("w") > 0)
-    length = F.least(F.lit(window), F.size("w"))
-    starts = F.sequence(F.lit(1), F.size("w") - length + 1)
-    return (
-        split.select("item_id", length.alias("length"), F.explode(F.transform(starts, lambda at: F.array_join(F.slice("w", at, length), " "))).alias("window"))
-        .select("window", "length", "item_id").distinct()
-    )
+
+    def of_item(w: Column) -> Column:
+        length = F.least(F.lit(window), F.size(w))
+        starts = F.sequence(F.lit(1), F.size(w) - length + 1)
+        made = F.transform(starts, lambda at: F.struct(F.array_join(F.slice(w, at, length), " ").alias("window"), length.alias("length")))
+        return F.when(F.size(w) > 0, made)
+
+    # Through a variable, so that an item is split once and not once for each window.
+    return benchmark.select("item_id", F.explode(let(words(F.col("text")), of_item)).alias("x")).select("x.window", "x.length", "item_id").distinct()
 
 
 def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, gram: int = GRAM) -> tuple[DataFrame, DataFrame]:
