@@ -139,7 +139,11 @@ def keep_one(docs: DataFrame) -> DataFrame:
     go by a hash of the text); a row that is repeated stays once, as its smallest
     form. An empty table gives no rows.
     """
-    marked, found = groups(docs)
+    return keep_first(docs, *groups(docs))
+
+
+def keep_first(docs: DataFrame, marked: DataFrame, found: DataFrame) -> DataFrame:
+    """The first row of each group of ``docs``, given its rows (doc_id, key, fp) and the group (fp, root) of each fingerprint."""
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")
     rows = materialize(marked.join(found, "fp").groupBy("root", "doc_id", "key").agg(F.count(F.lit(1)).alias("times")))
     first = rows.groupBy("root").agg(F.min(place).alias("first")).select("root", "first.doc_id", "first.key", F.lit(True).alias("stays"))
