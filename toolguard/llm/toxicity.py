@@ -199,7 +199,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_size: int = SAMPLE, column: s
                 if weight:
                     words = folded.split()
                     for a, b in zip(words, words[1:], strict=False):
-                        pair = f" {a} {b}"
+                        pair = f" {a} {b} "  # with the blank after it, so that no longer word is spared
                         if any(length and value for _, (length, value) in matcher.iter(pair)):
                             phrases.add(pair)
                 rows.append((label, weight, len(folded.split()), sorted(phrases)))
