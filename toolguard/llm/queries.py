@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from toolguard.llm import chat, decontamination, embeddings, language_model, mixing, quality, simhash, tokens, toxicity, warc
+from toolguard.functions.constants import let
+from toolguard.llm import chat, decontamination, embeddings, language_model, mixing, periodic, personal, quality, simhash, tokens, toxicity, warc, whitening
 from toolguard.llm.common import table
 
 
@@ -55,9 +56,60 @@ def op10_warc(spark: SparkSession, folder: str) -> DataFrame:
     return warc.round_trip(table(spark, folder, "pages"))
 
 
+def op11_personal_data(spark: SparkSession, folder: str) -> DataFrame:
+    found = personal.spans(table(spark, folder, "documents"))
+    base = F.filter("spans", lambda s: s["base"])
+
+    def count(kind: str) -> Column:
+        return F.size(F.filter(base, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    counts = map(count, personal.KINDS)
+    return found.select("doc_id", *counts, F.sha2(personal.written(base), 256).alias("base_sha256"), personal.written("spans").alias("spans"))
+
+
+def op12_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    found = periodic.periodic_runs(planted(table(spark, folder, "documents")))
+
+    def longer(a: Column, b: Column) -> Column:
+        # By exact quotients; runs come by start, then period, so of equal ones the first stays.
+        return F.when(a.isNull() | (b["length"] * a["period"] > a["length"] * b["period"]), b).otherwise(a)
+
+    run = "struct<start:bigint,length:bigint,period:bigint>"
+    best = F.aggregate("runs", F.lit(None).cast(run), longer)
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", *(r[c].cast("string") for c in ("start", "length", "period"))), F.lit("\n")))
+    return found.withColumn("best", best).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+        F.floor(1000 * F.col("best.length") / F.col("best.period")).alias("exponent_milli"),
+        F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+def planted(docs: DataFrame) -> DataFrame:
+    """The contract's documents: where crc32(doc_id) modulo 10 is 0, words from some place on repeat with a period."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    g = F.floor(h / 10)
+    words = F.filter(F.split(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != "")
+
+    def repeated(w: Column) -> Column:
+        n = F.size(w).cast("long")
+        a = g % n
+        p = 1 + F.floor((n - a) / (3 + g % 8))
+        at = F.transform(F.sequence(F.lit(0).cast("long"), n - 1), lambda i: F.when(i < a, i).otherwise(a + (i - a) % p).cast("int"))
+        return F.when(n > 0, let(at, lambda places: F.array_join(F.transform(places, lambda i: F.get(w, i)), " "))).otherwise("")
+
+    return docs.select("doc_id", F.when(h % 10 == 0, let(words, repeated)).otherwise(F.col("text")).alias("text"))
+
+
+def op13_embedding_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    return whitening.whiten(table(spark, folder, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_simhash_near_dedup, op2_quality_classifier, op3_token_counts, op4_chat_formatting, op5_embedding_near_dedup, op6_mixing, op7_language_model_scoring, op8_toxicity, op9_benchmark_decontamination, op10_warc)
+    for f in (
+        op1_simhash_near_dedup, op2_quality_classifier, op3_token_counts, op4_chat_formatting, op5_embedding_near_dedup, op6_mixing, op7_language_model_scoring,
+        op8_toxicity, op9_benchmark_decontamination, op10_warc, op11_personal_data, op12_periodic_runs, op13_embedding_whitening,
+    )
 }
 ORACLES: dict[str, str] = {
     "op4_chat_formatting": r"""
