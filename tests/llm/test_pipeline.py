@@ -7,7 +7,8 @@ import pytest
 import corpus_pipeline
 from compare import connect, difference
 from helpers import DOCS, awkward, empty
-from test_operators import SPLIT, plain_components, plain_contamination, plain_fingerprint, plain_targets
+from test_near_copies import plain_groups, plain_set
+from test_operators import SPLIT, plain_contamination, plain_targets
 from toolguard.llm import quality, queries, toxicity
 from toolguard.llm.common import table
 
@@ -27,12 +28,11 @@ def test_stages(spark):
             module, wanted = (toxicity, 0) if name == "toxicity" else (quality, 1)
             expected = Counter(r["doc_id"] for r in module.classify(docs, labels).collect() if r["predicted"] == wanted)
         elif name == "near_copies":
-            prints = {r["doc_id"]: plain_fingerprint(r["text"]) for r in before}
-            values = set(prints.values())
-            root = plain_components(values, [(a, b) for a in values for b in values if a < b and bin(a ^ b).count("1") <= 2])
+            sets = {r["doc_id"]: plain_set(r["text"]) for r in before}
+            root = plain_groups(set(sets.values()))
             groups = defaultdict(list)
-            for i, fp in prints.items():
-                groups[root[fp]].append(i)
+            for i, x in sets.items():
+                groups[root[x]].append(i)
             expected = Counter(min(g) for g in groups.values())
         elif name == "benchmark":
             items = [tuple(r) for r in table(spark, FOLDER, "benchmark").select("item_id", "text").collect()]
