@@ -296,7 +296,7 @@ def test_network_probabilities_and_gradients():
         return found
 
     grads, _ = network.train_window(inputs, targets, fresh, start)
-    for k, place in (("x", (inputs[0, 0], 3)), ("u", (2, 5)), ("c", (1, 4)), ("cb", (2,)), ("u", (4, 70))):
+    for k, place in (("x", (inputs[0, 0], 3)), ("u", (2, 5)), ("c", (1, 4)), ("cb", (2,)), ("u", (4, 2 * language_model.HIDDEN + 6))):
         network.p[k][place] += 1e-5
         up = loss()
         network.p[k][place] -= 2e-5
