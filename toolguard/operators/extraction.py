@@ -11,7 +11,9 @@ from toolguard import functions, rules
 from toolguard.functions import capabilities as caps
 from toolguard.functions import regex
 from toolguard.functions.parsing import parse_batches
-from toolguard.scale import unnest
+from toolguard.scale import materialize, salted_join, unnest
+from toolguard.sources import trees
+from toolguard.sources.files import decoded
 
 TOOL = StructType([StructField("seq", LongType()), *(StructField(n, StringType()) for n in ("name", "description", "code_snippet"))])
 # A Python file can only yield a tool if one of these words occurs in it.
@@ -49,6 +51,26 @@ def extract_tools(sources: DataFrame) -> DataFrame:
     return tool_rows(parsed)
 
 
+def extract_once(files: DataFrame, root: str) -> DataFrame:
+    """Tools of every file of a tree, each distinct content parsed once in the whole corpus.
+
+    ``files`` (repo_id, path, language, tree_path, size) names files below ``root`` (``trees.list_repos``). Files are
+    digested where they lie; only digests and places are shuffled, one place a digest is chosen, and only
+    the chosen files are loaded, flagged and parsed. Their tools then meet all places of the digest, popular ones
+    salted. The same rows as of ``extract_tools``.
+    """
+    places = materialize(trees.with_digests(trees.spread(files), root))
+    distinct = places.groupBy("digest", "language").agg(F.min(F.struct("tree_path", "size")).alias("p"))
+    chosen = trees.spread(materialize(distinct.select("digest", "language", "p.tree_path", "p.size")))
+    text = decoded(F.col("bytes"))
+    held = trees.with_contents(chosen, root).select("digest", "language", text.alias("content"))
+    flags = caps.flags_by_language(F.col("content"), F.col("language") == "JS/TS")
+    prepared = held.where(can_hold_tools(F.col("language"), F.col("content"))).select("digest", "language", flags.alias("file_flags"), "content")
+    parsed = materialize(with_tools(prepared).where(F.size("tools") > 0))
+    at = salted_join(places.select("repo_id", F.col("path").alias("file"), "digest", "language"), parsed, ["digest", "language"], "inner", spread=["file", "repo_id"])
+    return tool_rows(at)
+
+
 def tool_rows(parsed: DataFrame) -> DataFrame:
     """One row per tool of files with ``tools``."""
     return unnest(parsed, ["repo_id", "file", "language", "file_flags"], F.col("tools"), "t").select(

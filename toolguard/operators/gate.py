@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from toolguard import rules
 from toolguard.functions.capabilities import lookup
+from toolguard.functions.constants import constant
 
 CATEGORIES = ("overall", "secrets", "dependencies", "typosquats", "tools")
 
@@ -113,6 +114,98 @@ def evaluate(found: DataFrame, thresholds: dict[str, str]) -> DataFrame:
     )
 
 
+# ------------------------------------------------------- any number of presets
+LIMITS = ("overall", "secret", "dependency", "typosquat", "tool", "injection", "shadowing")
+
+
+def thresholds(spark: SparkSession, named: dict[str, dict[str, str]]) -> DataFrame:
+    """(preset, limit, level, rank): thresholds as rows, defaults filled in."""
+    rows = [
+        (name, limit, level, rules.SEVERITY_RANK.get(level, 0))
+        for name, levels in named.items()
+        for limit in LIMITS
+        for level in [{**rules.EVALUATOR_DEFAULTS, **levels}[limit]]
+    ]
+    return spark.createDataFrame(rows, "preset string, limit string, level string, rank int")
+
+
+def histogram(repos: DataFrame, report: DataFrame, secrets: DataFrame, vulnerable: DataFrame, typosquats: DataFrame) -> DataFrame:
+    """(repo_id, overall, counts): what gates look at, counted by rank, one row a repo whatever the thresholds.
+
+    ``counts`` has (category, score, injection, shadowed, n): for tools the ranks of score and worst
+    injection (-1 without one) and whether one is shadowed, for the others the rank of the severity as ``score``.
+    A repo has some dozens of them.
+    """
+    none, no = F.lit(-1), F.lit(False)
+
+    def kinds(df: DataFrame, category: str, score: Column, injection: Column = none, shadowed: Column = no) -> DataFrame:
+        keys = [F.lit(category).alias("category"), score.alias("score"), injection.alias("injection"), shadowed.alias("shadowed")]
+        # RED and YELLOW share ranks with severities, so the score's name tells what overall scores need.
+        name = F.col("score") if category == "tools" else F.lit(None).cast("string")
+        return df.select("repo_id", *keys, name.alias("name")).groupBy("repo_id", "category", "score", "injection", "shadowed", "name").agg(F.count(F.lit(1)).alias("n"))
+
+    worst = F.coalesce(F.array_max(F.transform("injection_findings", lambda f: rank(f["severity"]))), none)
+    tools = kinds(report, "tools", rank(F.col("score")), worst, F.coalesce(F.col("shadowing_count") > 0, no))
+    leaked = kinds(secrets, "secrets", rank(F.coalesce("confidence", F.lit("LOW"))))
+    # One failure per package, at its worst severity.
+    per_package = vulnerable.groupBy("repo_id", "line_no").agg(F.max(rank(F.coalesce("severity", F.lit("MEDIUM")))).alias("worst"))
+    weak = kinds(per_package, "dependencies", F.col("worst"))
+    squats = kinds(typosquats, "typosquats", rank(F.lit("MEDIUM")))
+    counted = tools.unionByName(leaked).unionByName(weak).unionByName(squats)
+    total = lambda category, name=None: F.sum(
+        F.when((F.col("category") == category) & (F.lit(True) if name is None else F.col("name") == name), F.col("n")).otherwise(0)
+    )
+    per_repo = counted.groupBy("repo_id").agg(
+        F.collect_list(F.struct("category", "score", "injection", "shadowed", "n")).alias("counts"),
+        total("secrets").alias("secrets"), total("dependencies").alias("vulnerable"), total("typosquats").alias("typosquats"),
+        total("tools", "RED").alias("red"), total("tools", "YELLOW").alias("yellow"), total("tools").alias("tools"),
+    )
+    zero = [F.coalesce(c, F.lit(0)).alias(c) for c in ("secrets", "vulnerable", "typosquats", "red", "yellow", "tools")]
+    nothing = F.array().cast("array<struct<category:string,score:int,injection:int,shadowed:boolean,n:bigint>>")
+    filled = repos.select("repo_id").join(per_repo, "repo_id", "left").select("repo_id", F.coalesce("counts", nothing).alias("counts"), *zero)
+    return filled.select("repo_id", overall_score().alias("overall"), "counts")
+
+
+def evaluate_all(found: DataFrame, limits: DataFrame) -> DataFrame:
+    """(preset, repo_id, overall_score, category, passed, failed_count, threshold) of every preset of ``thresholds``.
+
+    ``found`` comes from ``histogram``. Each row is a repo's histogram against one preset, so any
+    number of presets costs no further look at tools, secrets or packages.
+    """
+    levels = F.map_from_entries(F.collect_list(F.struct("limit", F.struct("level", "rank"))))
+    presets = limits.groupBy("preset").agg(levels.alias("levels"))
+    # All presets in one row beside the constant, so that no repo meets them in a join.
+    listed = presets.agg(F.collect_list(F.struct("preset", "levels")).alias("presets")).first()["presets"]
+    table = [{"preset": p["preset"], **{k: {"level": p["levels"][k]["level"], "rank": p["levels"][k]["rank"]} for k in LIMITS}} for p in listed]
+    rows = found.withColumn("p", F.explode(constant(sorted(table, key=lambda p: p["preset"]))))
+    at = lambda limit: F.col(f"p.{limit}.rank")
+    failed = lambda category, fails: F.aggregate(
+        F.filter("counts", lambda c: (c["category"] == category) & fails(c)), F.lit(0).cast("bigint"), lambda a, c: a + c["n"]
+    )
+    reaches = lambda limit: lambda c: c["score"] >= at(limit)
+    high = rules.SEVERITY_RANK["HIGH"]
+
+    def tool_fails(c: Column) -> Column:
+        return (c["score"] >= at("tool")) | ((c["injection"] >= 0) & (c["injection"] >= at("injection"))) | (c["shadowed"] & (F.lit(high) >= at("shadowing")))
+
+    overall = rank(F.col("overall")) >= at("overall")
+    squats = failed("typosquats", lambda c: F.lit(True))
+    entry = lambda category, limit, count, passed=None: F.struct(
+        F.lit(category).alias("category"), (count == 0 if passed is None else passed).alias("passed"), count.cast("bigint").alias("failed_count"),
+        F.col(f"p.{limit}.level").alias("threshold"),
+    )
+    entries = F.array(
+        entry("overall", "overall", F.when(overall, 1).otherwise(0)),
+        entry("secrets", "secret", failed("secrets", reaches("secret"))),
+        entry("dependencies", "dependency", failed("dependencies", reaches("dependency"))),
+        entry("typosquats", "typosquat", squats, (squats == 0) | (F.lit(rules.SEVERITY_RANK["MEDIUM"]) < at("typosquat"))),
+        entry("tools", "tool", failed("tools", tool_fails)),
+    )
+    return rows.select(F.col("p.preset").alias("preset"), "repo_id", F.col("overall").alias("overall_score"), F.explode(entries).alias("r")).select(
+        "preset", "repo_id", "overall_score", "r.*"
+    )
+
+
 def failures(
     report: DataFrame, secrets: DataFrame, vulnerable: DataFrame, typosquats: DataFrame, thresholds: dict[str, str]
 ) -> DataFrame:

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from toolguard import rules
 from toolguard.guidance import GUIDANCE
-from toolguard.queries import seeds
+from toolguard.queries import extended, seeds
 
 W = r"\p{L}\p{N}_"
 S = r"\t-\r\x1c-\x1f \x85\p{Z}"
@@ -622,6 +622,8 @@ FROM (SELECT l_linenumber AS n, l_partkey % 50 AS p FROM lineitem)) WHERE NOT st
         "stream_action_counts": "SELECT time_bucket(INTERVAL 1 HOUR, call_ts) AS window_start, time_bucket(INTERVAL 1 HOUR, call_ts) + INTERVAL 1 HOUR AS window_end, action, count(*) AS calls FROM decisions_v GROUP BY ALL",
         "stream_latest_scores": "SELECT * FROM latest_v",
     }
+    gates = [f"SELECT {q(name)} AS preset, * FROM ({gate(levels)})" for name, levels in extended.PRESETS.items()]
+    plain_queries |= {**extended.SQL, "gates_of_all_presets": " UNION ALL ".join(gates)}
     corpus_queries = {
         "corpus_report": f"SELECT {key}, name, language, {joined('actual_behavior')} AS actual_behavior, {joined('mismatches')} AS mismatches, risk_level, {joined('list_sort(actual)')} AS actual, permission_severity, shadowing_count, blast_score, score FROM report_v",
         "corpus_builds": builds.format(legacy="overall_score = 'RED'", gate=gate(rules.PRESETS["default"])),

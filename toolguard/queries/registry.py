@@ -431,10 +431,10 @@ def scan_counts(spark, folder):
 
 
 def _found(spark, folder, levels: dict) -> DataFrame:
-    return gate.findings_per_repo(views.repos(spark, folder), *_gated(spark, folder), levels)
+    return gate.findings_per_repo(views.repos(spark, folder), *gated(spark, folder), levels)
 
 
-def _gated(spark, folder) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+def gated(spark, folder) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """What gates look at: the report, secrets, vulnerable and look-alike packages."""
     pins = _pins_once(spark, folder)
     leaked = secrets.scan_files(views.source_files(spark, folder))
@@ -443,7 +443,7 @@ def _gated(spark, folder) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
 
 @query
 def gate_failures(spark, folder):
-    return gate.failures(*_gated(spark, folder), rules.PRESETS["default"])
+    return gate.failures(*gated(spark, folder), rules.PRESETS["default"])
 
 
 @query
