@@ -111,12 +111,18 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = MOS
 
 
 def emit(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = MOST, seeds: int = SEEDS) -> DataFrame:
-    """``docs`` as mixed: each row as often as it is taken, all columns, with ``copy`` from 1."""
+    """``docs`` as mixed: each row as often as it is taken, all columns, with ``copy`` from 1.
+
+    Where ``docs`` has a column of that name, in any case, it stays, and the number's name gets underscores at its end.
+    """
+    name = "copy"
+    while name in {c.lower() for c in docs.columns}:
+        name += "_"
     sizes = materialize(docs.select("doc_id", "source", word_count("text").alias("size")))
     table = rates(sizes, weights, most, seeds).select("source", F.struct("rate", "seed").alias("__mix"))
     number = copies(F.col("__mix.rate"), F.col("__mix.seed"), F.col("doc_id")).cast("int")
     return (
         with_rates(docs, table)
-        .withColumn("copy", F.explode(F.when(number > 0, F.sequence(F.lit(1), number)).otherwise(F.array().cast("array<int>"))))
+        .withColumn(name, F.explode(F.when(number > 0, F.sequence(F.lit(1), number)).otherwise(F.array().cast("array<int>"))))
         .drop("__mix")
     )
