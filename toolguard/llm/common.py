@@ -97,10 +97,16 @@ def labelled(docs: DataFrame, labels: DataFrame, column: str, most: int, seed: i
     """(doc_id, text, label) of a bounded sample of the labelled rows outside the held-out fold.
 
     Only rows whose crc32(doc_id) modulo 5 is not 0 and whose label is not NULL count;
-    an id that is labelled in both ways has the smaller label. The ids are
-    bounded by ``most``, so they are broadcast and no text is shuffled.
+    an id that is labelled in both ways has the smaller label. Rows that repeat an id and its text
+    count once; where ids of many texts bring more than a tenth beyond ``most``, texts are drawn once more by their hashes.
+    The ids are bounded by ``most``, so they are broadcast; of texts only the sample is shuffled.
     """
     known = labels.where((fold("doc_id") != 0) & F.col(column).isNotNull() & F.col("doc_id").isNotNull())
     known = bounded_sample(known.select("doc_id", F.col(column).cast("int").alias("label")), "doc_id", most, seed)
     known = known.groupBy("doc_id").agg(F.min("label").alias("label"))
-    return docs.select("doc_id", "text").join(F.broadcast(known), "doc_id")
+    rows = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").withColumn("__key", F.xxhash64(F.coalesce("text", F.lit(""))))
+    different = rows.select("doc_id", "__key").distinct().count()
+    if different > 1.1 * most:
+        rows = rows.where(F.pmod(F.xxhash64(F.lit(seed), "doc_id", "__key"), F.lit(1 << 30)) < int(most / different * (1 << 30)))
+    one = rows.groupBy("doc_id", "__key").agg(F.min("label").alias("label"), F.any_value(F.coalesce("text", F.lit(""))).alias("text"))
+    return one.select("doc_id", "text", "label")

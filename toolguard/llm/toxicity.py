@@ -27,7 +27,7 @@ from toolguard.scale import materialize
 THRESHOLD = 0.5
 #: Documents that a model is fitted on at most: the bounded sample of labelled rows.
 SAMPLE = 20_000
-#: Lengths of word beginnings that can be entries.
+#: Lengths of word beginnings that can be entries; shorter and longer words can be entries as a whole.
 SHORTEST, LONGEST = 4, 16
 #: Bits that tell the words before a word beginning apart, and candidates by document.
 BITS = 63
@@ -95,17 +95,24 @@ class Model:
         if not len(automaton):
             return 0.0
         best: dict[int, float] = {}
-        spared: list[tuple[int, int]] = []
+        spared: list[tuple[int, int]] = []  # both ends of exception phrases
         for end, (length, weight) in automaton.iter(folded):
             start = end - length + 1
             if weight is None:
                 spared.append((start, end))
             elif weight > best.get(start, 0.0):
                 best[start] = weight
-        for start, end in spared:
-            for at in [x for x in best if start <= x < end]:
-                del best[at]
-        return sum(best.values())
+        if not spared:
+            return sum(best.values())
+        # Both in order: what lies before the farthest end so far is inside a phrase.
+        spared.sort()
+        total, reach, i = 0.0, -1, 0
+        for at in sorted(best):
+            while i < len(spared) and spared[i][0] <= at:
+                reach, i = max(reach, spared[i][1]), i + 1
+            if at >= reach:
+                total += best[at]
+        return total
 
     def score(self, weight: float, words: int) -> float:
         return 1.0 / (1.0 + math.exp(-max(-500.0, min(500.0, self.bias + self.slope * density(weight, words)))))
@@ -130,8 +137,11 @@ def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             seen: dict[str, int] = {}
             for word, last in before.items():
                 bit = 1 << (zlib.crc32(last.encode()) % BITS)
-                for n in range(SHORTEST, min(len(word), LONGEST) + 1):
-                    seen[word[:n]] = seen.get(word[:n], 0) | bit
+                entries = [word[:n] for n in range(SHORTEST, min(len(word), LONGEST) + 1)]
+                if not SHORTEST <= len(word) <= LONGEST:
+                    entries.append(f"{word} ")  # with the blank behind it
+                for entry in entries:
+                    seen[entry] = seen.get(entry, 0) | bit
             for term, bits in seen.items():
                 row = found.setdefault(term, [0, 0, 0])
                 row[label != 1] += 1
@@ -246,7 +256,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             found = []
             for text in texts_of(batch):
                 folded = fold_text(text, folding)
-                found.append(model.score(model.weigh(folded, matcher), len(text.split())))
+                found.append(model.score(model.weigh(folded, matcher), len(folded.split())))
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(found, pa.float64())], [*batch.schema.names[:-1], "score"])
 
     return map_arrow(docs.select("doc_id", "text"), scores, "doc_id bigint, score double")
@@ -273,4 +283,9 @@ def reject(docs: DataFrame, labels: DataFrame, sample_size: int = SAMPLE, thresh
 
 def _judge(model: Model, threshold: float):
     matcher, folding = model.matcher(), Folding()
-    return lambda texts: [model.score(model.weigh(fold_text(t, folding), matcher), len(t.split())) < threshold for t in texts]
+
+    def clean(text: str) -> bool:
+        folded = fold_text(text, folding)
+        return model.score(model.weigh(folded, matcher), len(folded.split())) < threshold
+
+    return lambda texts: list(map(clean, texts))
