@@ -116,16 +116,16 @@ def distinct_vectors(rows: DataFrame) -> DataFrame:
     )
     packed = map_arrow(
         usable.select("label", "width", "k1", "k2", "times", "first", "embedding"), _pack,
-        "label int, width int, k1 long, k2 long, times long, first long, vector binary",
+        "label string, width int, k1 long, k2 long, times long, first long, vector binary",
     )
     # The table is written at once, which settles the ids.
     return materialize(packed.withColumn("node", F.monotonically_increasing_id()))
 
 
 def identified(vectors: DataFrame) -> DataFrame:
-    """(vec_id, label, embedding, usable, width, k1, k2); unusable vectors have no label, or are NULL, zero or not finite."""
+    """(vec_id, label, embedding, usable, width, k1, k2); labels of any type are compared by their text; unusable vectors have none, or are NULL, zero or not finite."""
     x = F.transform("embedding", lambda v: v.cast("double"))
-    rows = vectors.select("vec_id", F.col("label").cast("int").alias("label"), x.alias("embedding"))
+    rows = vectors.select("vec_id", F.col("label").cast("string").alias("label"), x.alias("embedding"))
     finite = F.forall("embedding", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < F.lit(float("inf"))))
     usable = F.col("label").isNotNull() & F.coalesce(finite & F.exists("embedding", lambda v: v != 0.0), F.lit(False))
     return rows.withColumn("usable", usable).select(
@@ -219,7 +219,7 @@ def _links_of(nodes: DataFrame, width: int, threshold: float, recall: float, sam
                 )
 
     placed = materialize(map_arrow(
-        nodes.select("node", "label", "vector", "times"), visit, "node long, label int, vector binary, times long, home int, visits array<int>"
+        nodes.select("node", "label", "vector", "times"), visit, "node long, label string, vector binary, times long, home int, visits array<int>"
     ))
     visiting = placed.select("node", "label", "vector", "times", "home", F.explode("visits").alias("cell"))
     # One row a cell of the grid and label: how its two sides are cut into blocks.
