@@ -13,7 +13,6 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
-import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -22,14 +21,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from toolguard.llm.common import map_arrow
-from toolguard.scale import checkpoint_folder, materialize
+from toolguard.scale import materialize, scratch
 
 MAGIC = "WARC/1.1\r\n"
 END = "\r\n\r\n"
 DATE = "2024-01-01T00:00:00Z"
 RECORDS_PER_FILE = 50_000
-#: Longest header block of an HTTP message that is looked for.
-HTTP_HEADER = 1 << 16
 ID = "<urn:page:{}>"
 
 
@@ -107,7 +104,7 @@ class Candidate:
     head: int
     fields: dict[str, str]
     left: int
-    header: bytes | None
+    header: bytearray | None
     digest: object = field(default_factory=hashlib.sha1)
     size: int = 0
 
@@ -115,11 +112,12 @@ class Candidate:
         data = data[: self.left]
         self.left -= len(data)
         if self.header is not None:  # the block's own HTTP header is not payload
+            seen = max(len(self.header) - 3, 0)  # the end may lie across two pieces
             self.header += data
-            at = self.header.find(b"\r\n\r\n")
-            if at < 0 and self.left and len(self.header) < HTTP_HEADER:
+            at = self.header.find(b"\r\n\r\n", seen)
+            if at < 0 and self.left:
                 return
-            data, self.header = self.header[at + 4 if at >= 0 else 0 :], None
+            data, self.header = bytes(self.header[at + 4 if at >= 0 else 0 :]), None
         self.digest.update(data)
         self.size += len(data)
 
@@ -152,7 +150,7 @@ class Walk:
             if self.last is not None and self.last.next > self.at:
                 self.targets.add(self.last.next)  # it is not the next candidate's: a run starts there
             new = Candidate(self.at, after, self.last.head if follows else self.at, fields, length,
-                            b"" if fields.get("content-type", "").startswith("application/http") else None)
+                            bytearray() if fields.get("content-type", "").startswith("application/http") else None)
             new.feed(data[body:])
             self.open.append(new)
             self.targets = {t for t in self.targets if t > self.at} if len(self.targets) > 64 else self.targets
@@ -249,7 +247,7 @@ def round_trip(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     records of their own. An empty table gives an archive without records and no rows.
     """
     spark = pages.sparkSession
-    path = f"{checkpoint_folder(spark)}/archives/{uuid.uuid4().hex}"
+    path = scratch(spark, "archives")
     write(pages, path, least_bytes)
     number = lambda c: F.regexp_extract(c, r"^<urn:page:(-?[0-9]+)>$", 1)
     records = materialize(read(spark, path)).select(
@@ -264,7 +262,9 @@ def round_trip(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
         "page_id", "payload_bytes", F.coalesce(wrong.cast("string"), F.col("payload_digest")).alias("payload_digest"),
         F.col("type").alias("record_type"), F.lit(None).cast("long").alias("refers_to"),
     ).union(
-        revisits.join(originals, (F.col("refers") == F.col("of")) & (F.col("declared") == F.col("full_digest"))).select(
-            "page_id", F.col("full_bytes"), F.col("full_digest"), "type", number(F.col("refers")).cast("long")
+        revisits.join(originals, (F.col("refers") == F.col("of")) & (F.col("declared") == F.col("full_digest")), "left").select(
+            "page_id", F.col("full_bytes"),
+            F.coalesce("full_digest", F.raise_error(F.concat(F.lit("no response for the revisit "), "id")).cast("string")).alias("full_digest"),
+            "type", number(F.col("refers")).cast("long"),
         )
     )
