@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from toolguard.functions import capabilities as caps
+from toolguard.functions.constants import let
 from toolguard.scale import hot_keys, hottest, salted_join, unnest
 from toolguard.sources.files import is_js_source, is_python_source, without_file_behavior
 from toolguard.schemas import TOOL_KEY
@@ -70,7 +71,13 @@ def normalized_path(path: Column, root: str | None = None) -> Column:
         .otherwise(F.concat(kept, F.array(part))),
     )
     written = F.concat(F.when(absolute, "/").otherwise(""), F.array_join(parts, "/"))
-    normal = F.when(path.rlike(r"(?:^|/)\.{0,2}(?:/|\z)|\\"), written).otherwise(path)
+    # Rewriting resolves most relative paths, and quicker: parts without effect go, then two times a part with the ".." behind it.
+    special = r"(?:^|/)\.{0,2}(?:/|\z)"
+    quick = F.regexp_replace(F.regexp_replace(text, r"/(?:\.?/)+", "/"), r"^(?:\./)+", "")
+    for _ in range(2):
+        quick = F.regexp_replace(quick, r"(?<![^/])(?!\.{1,2}/)[^/]+/\.\./", "")
+    resolved = let(quick, lambda q: F.when(absolute | q.rlike(special), written).otherwise(q))
+    normal = F.when(path.rlike(special + r"|\\"), resolved).otherwise(path)
     if root is None:
         return normal
     base = "/" + "/".join(p for p in root.split("/") if p not in ("", ".")) + "/"
