@@ -76,8 +76,8 @@ def advised_ranges(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def vulnerable_ranges(spark, folder):
     """How many ranges hold a version, and the first of them."""
-    found = packages.in_ranges(versions(spark, folder), advised_ranges(spark, folder))
-    return found.groupBy("package", "version").agg(F.count(F.lit(1)).alias("advisories"), F.min("advisory").alias("first_advisory"))
+    found = packages.ranges_of(versions(spark, folder), advised_ranges(spark, folder), "advisory")
+    return found.select("package", "version", F.col("n").alias("advisories"), F.col("first").alias("first_advisory"))
 
 
 SQL["vulnerable_ranges"] = """WITH v AS (
