@@ -3,7 +3,8 @@
 Rules are rows, compiled to rows of conditions. An index names for each rule what a call must
 hold to match at all: the rarest three letters of a literal, a capability, an argument's
 name. Calls meet only the rules whose key they hold, conditions decide, and of all rules that
-match the first one counts. Rules that no key stands for are tried on every call of their tenant.
+match the first one counts; of those that ask the same only the first is tried. Rules that no key
+stands for are tried on every call of their tenant.
 """
 
 from __future__ import annotations
@@ -124,6 +125,12 @@ def rule_keys(compiled_rules: DataFrame) -> DataFrame:
     return rows.select("tenant", "rule_ord", "any", "place", keys.alias("keys"))
 
 
+def deciding(compiled_rules: DataFrame) -> DataFrame:
+    """(tenant, rule_ord, any, conditions) of the rules that can be first: of a tenant's rules that ask the same, the first one."""
+    asked = F.array_sort(F.array_distinct("conditions")).alias("conditions")
+    return compiled_rules.groupBy("tenant", "any", asked).agg(F.min("rule_ord").alias("rule_ord")).select("tenant", "rule_ord", "any", "conditions")
+
+
 def index(compiled_rules: DataFrame, keys_of_calls: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(tenant, field, value, rule_ord) of indexed rules, and (tenant, rule_ord) of those to be tried on every call.
 
@@ -178,11 +185,12 @@ def decide(calls: DataFrame, compiled_rules: DataFrame, policies: DataFrame | No
     tried = held.where(~F.col("arguments_unreadable") & F.col("tenant").isNotNull())
     compiled_rules = materialize(compiled_rules)
     keys = materialize(call_keys(tried))
-    known, wide = index(compiled_rules, keys)
+    tested = materialize(deciding(compiled_rules))
+    known, wide = index(tested, keys)
     pairs = salted_join(keys, known, ["tenant", "field", "value"], "inner", spread=["__row"]).select("__row", "tenant", "rule_ord")
     pairs = pairs.unionByName(salted_join(tried.select("__row", "tenant"), wide, ["tenant"], "inner", spread=["__row"]).select("__row", "tenant", "rule_ord"))
     facts = tried.select("__row", "__tool", "__description", "__texts", "__given", "capabilities")
-    asked = pairs.distinct().join(compiled_rules.select("tenant", "rule_ord", "any", "conditions"), ["tenant", "rule_ord"])
+    asked = pairs.distinct().join(tested, ["tenant", "rule_ord"])
     matched = asked.join(facts, "__row").where(
         F.when(F.col("any"), F.exists("conditions", holds)).otherwise(F.forall("conditions", holds))
     )
