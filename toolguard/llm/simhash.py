@@ -16,9 +16,9 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from toolguard.llm.common import by_bytes, map_arrow, texts_of
+from toolguard.llm.common import by_bytes, map_arrow, sieve, texts_of
 from toolguard.llm.components import components
-from toolguard.scale import materialize
+from toolguard.scale import discard, materialize
 
 RADIUS = 2
 SHINGLE = 3
@@ -152,8 +152,28 @@ def keep_first(docs: DataFrame, marked: DataFrame, found: DataFrame) -> DataFram
         .where(F.col("stays").isNull() | (F.col("times") > 1))
         .select(rows["doc_id"].alias("__id"), rows["key"].alias("__key"), (F.coalesce("stays", F.lit(False))).alias("__stays"))
     )
-    same = docs["doc_id"].eqNullSafe(judged["__id"]) & (text_key(docs["text"]) == judged["__key"])
-    once = docs.join(judged, same, "left_anti")
+    discard(rows)
+    once = without(docs, judged)
     # Repeated rows that stay: few, and combined before they are shuffled.
-    again = docs.join(judged.where("__stays"), same).groupBy("__id", "__key").agg(F.min(F.struct(*docs.columns)).alias("__row"))
+    again = at_places(docs, judged.where("__stays")).groupBy("__id", "__key").agg(F.min(F.struct(*docs.columns)).alias("__row"))
     return once.unionByName(again.select("__row.*"))
+
+
+def _met(docs: DataFrame, places: DataFrame) -> tuple[DataFrame, DataFrame, Column]:
+    """Rows of ``docs`` that may be at ``places`` (__id, __key), those that are not, and what joins the first with the places."""
+    passes = sieve(places.select(F.xxhash64("__id", "__key")))
+    place = F.xxhash64("doc_id", text_key())
+    may = docs.where(passes(place))
+    return may, docs.where(~passes(place)), may["doc_id"].eqNullSafe(places["__id"]) & (text_key(may["text"]) == places["__key"])
+
+
+def at_places(docs: DataFrame, places: DataFrame) -> DataFrame:
+    """The rows of ``docs`` joined with those of ``places`` (__id, __key and others) that they are at. Few other texts are shuffled."""
+    may, _, same = _met(docs, places)
+    return may.join(places, same)
+
+
+def without(docs: DataFrame, places: DataFrame) -> DataFrame:
+    """``docs`` without the rows at ``places`` (__id, __key). Few texts of the rows that stay are shuffled."""
+    may, never, same = _met(docs, places)
+    return never.unionByName(may.join(places, same, "left_anti"))
