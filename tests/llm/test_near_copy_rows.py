@@ -17,7 +17,7 @@ from toolguard.llm import common, near_copies, simhash
 def test_parities_never_part_similar_sets(spark):
     r, rows, want = random.Random(4), [], []
     for i in range(300):
-        n = r.choice([1, 3, 20, 127, 128, 130, 500, 515, 2060])
+        n = r.choice([1, 3, 20, 127, 128, 130, 500, 515, 1000, 2060])
         shared = {r.getrandbits(64) for _ in range(n)}
         a, b = (np.array(sorted(shared | {r.getrandbits(64) for _ in range(r.randrange(0, 1 + n // 4))}), dtype=np.uint64) for _ in range(2))
         if i % 3 == 0:
