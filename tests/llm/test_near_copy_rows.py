@@ -6,6 +6,7 @@ from collections import Counter
 from urllib.parse import urlparse
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from helpers import awkward, sentences
@@ -89,3 +90,30 @@ def test_without_and_at_places_are_joins(spark):
     assert Counter((x["doc_id"], x["text"]) for x in simhash.without(frame, places).collect()) == every - even
     got = Counter((x["doc_id"], x["text"] or "") for x in simhash.at_places(frame, places).collect())
     assert got == Counter((i, t or "") for (i, t), n in even.items() for _ in range(n))
+
+
+def test_no_task_of_near_copies_needs_two_workers(spark, capsys):
+    """A test in Python before a step in Python holds two workers a core, and whole rows between them."""
+    passes = common.sieve(spark.range(50).select(F.xxhash64("id").alias("h")))
+    spark.range(9).where(passes(F.xxhash64("id"))).explain()
+    assert "Python" not in capsys.readouterr().out
+
+
+def test_texts_reach_python_in_batches_of_bounded_bytes(spark):
+    key, rows = "spark.sql.execution.arrow.maxBytesPerBatch", "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key), spark.conf.get(rows)
+    spark.conf.set(key, "64m")
+    spark.conf.set(rows, "10000")
+    try:
+        docs = spark.range(0, 2000, 1, 1).select(F.col("id").alias("doc_id"), F.repeat(F.lit("some words "), 1000).alias("text"))
+        held = common.filter_rows(docs, lambda: lambda texts: [True] * len(texts))
+        assert spark.conf.get(key) == f"{common.ARROW_BYTES}b"
+        sizes = common.map_arrow(docs, lambda batches: (pa.RecordBatch.from_arrays([pa.array([b.nbytes])], ["n"]) for b in batches), "n long")
+        assert sizes.agg(F.max("n")).first()[0] <= common.BATCH_BYTES
+        assert held.count() == 2000
+        spark.conf.set(key, "1m")
+        common.limit_batches(spark)  # a lower limit stays
+        assert spark.conf.get(key) == "1m"
+    finally:
+        spark.conf.set(key, before[0])
+        spark.conf.set(rows, before[1])

@@ -36,6 +36,8 @@ DIMENSIONS = 48
 SHARES = (0.0, 0.1, 0.25, 0.5, 0.75)
 NO_WORSE = 0.002
 TRIED = 1_500
+#: Documents whose cosines with the whole sample the driver holds at a time.
+TRIED_BLOCK = 256
 NEIGHBOURS = 15
 #: Documents and labelled vectors in one product.
 BLOCK = 1024
@@ -189,7 +191,10 @@ def fit(docs: DataFrame, labels: DataFrame, sample_size: int = SAMPLE, column: s
     rows = map_arrow(sample, _hashed, "doc_id bigint, label int, key bigint, x binary").toArrow().sort_by([("doc_id", "ascending"), ("key", "ascending")])
     votes = np.array([float(y == 1) for y in rows["label"].to_pylist()], dtype=np.float32)
     prior = float(votes.mean()) if len(votes) else 0.5
-    x = np.frombuffer(b"".join(v.as_py() for v in rows["x"]), dtype="<f2").reshape(-1, FORMS + WORDS).astype(np.float32)
+    x = np.empty((len(votes), FORMS + WORDS), dtype=np.float32)
+    for i, v in enumerate(rows["x"]):  # without further copies of all rows, as the driver's memory is short
+        x[i] = np.frombuffer(v.as_buffer(), dtype="<f2")
+    del rows
     spaces = [x[:, :FORMS], x[:, FORMS:]]
     often = [(x != 0).sum(axis=0) for x in spaces]
     weights = [np.log(1.0 + (1 + len(votes)) / (1 + n)).astype(np.float32) for n in often]
@@ -226,8 +231,8 @@ def best_share(form: np.ndarray, word: np.ndarray, votes: np.ndarray, prior: flo
     if k < 1:
         return SHARES[0]
     tried = np.unique(np.linspace(0, len(votes) - 1, TRIED).astype(int))
-    for start in range(0, len(tried), BLOCK):
-        rows = tried[start : start + BLOCK]
+    for start in range(0, len(tried), TRIED_BLOCK):
+        rows = tried[start : start + TRIED_BLOCK]
         cosines = form[rows] @ form.T, word[rows] @ word.T
         for i, share in enumerate(SHARES):
             both = (1 - share) * cosines[0] + share * cosines[1]
