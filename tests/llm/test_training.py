@@ -111,3 +111,48 @@ def test_learned_score_beats_counts_and_equals_a_plain_loop(spark):
             if w is not None and w not in held_words:
                 total += np.log10((counts[w] + 0.5) / (mass[last[0]] + 0.5 * (kinds[last[0]] + 1)))
         assert np.isclose(found[x["doc_id"]]["score"], total, rtol=1e-4, atol=1e-3)
+
+
+def test_every_word_of_the_dictionary_has_an_output_and_is_an_input():
+    """However many the words are: each has a class and a path of its own, and the probabilities of all add up to one."""
+    words = [(b"w%da%d" % (i, i % 7), 20000 // (i + 1) + 1) for i in range(9000)]
+    lex = language_model.lexicon(words, 10, ["a1", "a2"], [30, 20, 10])
+    assert lex.size == 1 + 9000 + 2 + 1 and len(set(lex.words)) == 9000  # 500 had an output before
+    assert [lex.code(w) for w, _ in words] == list(range(1, 9001)) and lex.code(b"xa2") == 9002 and lex.code(b"zz") == lex.rest
+    paths = {(lex.of[s], *lex.turns[lex.starts[s] : lex.starts[s + 1]]) for s in range(lex.size)}
+    assert len(paths) == lex.size
+    assert len({lex.row[s] for s in range(lex.size)}) > 3000
+    counts = np.array([10, *(c for _, c in words), 30, 20, 10], dtype=float)
+    network = language_model.Network(language_model.Network.start(lex, counts), lex)
+    h = np.random.default_rng(3).standard_normal((2, language_model.HIDDEN)).astype(np.float32)
+    every = np.array([np.exp(network.log_probabilities(np.repeat(x[None], lex.size, axis=0), np.arange(lex.size))) for x in h])
+    assert np.allclose(every.sum(axis=1), 1.0, atol=1e-4)
+    assert np.abs(every[0] / every[1] - 1).min() > 0  # a state tells about each word, not only about some
+    # Before anything is learned, words are as likely as they are frequent.
+    network.p["w"][:], network.p["c"][:] = 0, 0
+    assert np.allclose(np.exp(network.log_probabilities(np.repeat(h[:1], lex.size, axis=0), np.arange(lex.size))), (counts + 0.5) / (counts + 0.5).sum(), rtol=1e-3)
+
+
+def test_gradients_of_nodes():
+    lex = language_model.lexicon([(b"w%d" % i, 500 - i) for i in range(400)], 10, ["ab", "cd"])
+    r = np.random.default_rng(5)
+    network = language_model.Network(language_model.Network.start(lex, np.ones(lex.size)), lex)
+    network.p = {k: v.astype(np.float64) for k, v in network.p.items()}
+    inputs, targets = r.integers(1, lex.size, (5, 30)), r.integers(0, lex.size, (5, 30))
+    start = r.standard_normal((30, language_model.HIDDEN))
+
+    def loss():
+        h, found = start, 0.0
+        for t in range(5):
+            h = network.step(inputs[t], h)[0]
+            found -= network.log_probabilities(h, targets[t]).sum() / targets.size
+        return found
+
+    grads, _ = network.train_window(inputs, targets, inputs == 0, start)
+    for k, place in (*(("w", (int(i), int(j))) for i, j in r.integers(0, (lex.nodes, language_model.HIDDEN), (8, 2))), ("u", (1, 7)), ("x", (inputs[1, 2], 5))):
+        network.p[k][place] += 1e-5
+        up = loss()
+        network.p[k][place] -= 2e-5
+        slope = (up - loss()) / 2e-5
+        network.p[k][place] += 1e-5
+        assert abs(grads[k][place] - slope) < 1e-7 + 1e-3 * abs(slope), k
