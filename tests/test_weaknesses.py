@@ -78,3 +78,18 @@ def test_a_large_result_is_even_over_the_tasks(spark):
     held = [r["n"] for r in found.groupBy(F.spark_partition_id()).agg(F.count(F.lit(1)).alias("n")).collect()]
     assert sum(held) == 1_000_000 == found.distinct().count()
     assert max(held) <= 100_000
+
+
+def test_expanding_join_repeats_both_sides_alike(spark):
+    """Cut into a grid, a key's rows go to as many pieces as the root of all pieces; only left rows were cut before."""
+    left = spark.range(1000).select(F.lit("k").alias("k"), F.col("id").alias("a")).union(spark.createDataFrame([("rare", 7), (None, 8)], "k string, a long"))
+    right = spark.range(1000).select(F.lit("k").alias("k"), F.col("id").alias("b")).union(spark.createDataFrame([("rare", 7), ("rare", 7), (None, 8)], "k string, b long"))
+    sizes = spark.createDataFrame([("k", 1_000_000), ("rare", 2)], "k string, made long")
+    found = scale.expanding_join(left, right, ["k"], sizes, spread=["a"], made=2500).withColumn("at", F.spark_partition_id()).cache()
+    assert found.columns == ["k", "a", "b", "at"]
+    assert found.where("k = 'k'").count() == found.where("k = 'k'").distinct().count() == 1_000_000
+    assert found.where("k = 'rare'").count() == 2 and found.where("k is null").count() == 0
+    for side in "ab":
+        pieces = found.where("k = 'k'").groupBy(side).agg(F.countDistinct("at").alias("n")).agg(F.max("n")).first()[0]
+        assert 1 < pieces <= 20, side  # of 400 in 800 partitions; a right row was in each of them
+    found.unpersist()
