@@ -93,3 +93,20 @@ def test_expanding_join_repeats_both_sides_alike(spark):
         pieces = found.where("k = 'k'").groupBy(side).agg(F.countDistinct("at").alias("n")).agg(F.max("n")).first()[0]
         assert 1 < pieces <= 20, side  # of 400 in 800 partitions; a right row was in each of them
     found.unpersist()
+
+
+def test_vulnerabilities_tell_what_is_asked(inputs):
+    whole, names = packages.vulnerabilities(*inputs), packages.vulnerabilities(*inputs, tell=("vuln_id",))
+    assert names.columns == [c for c in whole.columns if c not in ("summary", "text", "severity")]
+    assert Counter(map(tuple, names.collect())) == Counter(map(tuple, whole.select(*names.columns).collect()))
+
+
+def test_guidance_is_added_to_rows_that_are_made_narrow(spark):
+    """The texts are the same in each row, so the join that makes the rows does not copy them."""
+    from toolguard.queries import registry
+
+    plan = registry.repo_guidance(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    lines = [line.strip(" :+-|") for line in plan.splitlines()]
+    above = next(i for i, line in enumerate(lines) if line.startswith("Project") and ", dependency AS about" in line)
+    assert "known, published vulnerability" in lines[above] and lines[above + 1].startswith("Repartition")
+    assert "Join" not in lines[above + 1] and not any("known, published vulnerability" in line for line in lines[above + 1 :])
